@@ -195,3 +195,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     joined = found.join(classes.select("n", "s1", "s2", "node"), ["n", "s1", "s2"], "left").join(comp.withColumnRenamed("component", "__c"), "node", "left")
     component = F.when(F.col("n") > 0, F.coalesce("__c", "node", "doc_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+
+
+def keep_first(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """``docs`` with one document of each group of near copies, the one with the smallest id, and all that are in none.
+
+    Of rows that share that id and their text one stays. Rows with a null id stay.
+    """
+    gone = near_duplicates(docs, percent).where("not kept").select("doc_id").distinct()
+    once = docs.withColumn("__h", F.xxhash64("text"))
+    once = once.where("doc_id is not null").dropDuplicates(["doc_id", "__h"]).unionByName(once.where("doc_id is null")).drop("__h")
+    return once.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -329,13 +329,28 @@ def bands(judged: DataFrame) -> DataFrame:
     return out.select("__key", (F.col("mid") / 1000).alias("mid"), (F.col("mad") / 1000 * 1.4826).alias("spread"), "noise")
 
 
-def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` (default: all columns; added columns replace those of their name) with the base counts, base_failed,
-    perplexity and kept."""
-    judged = written(scored(docs, train(docs), docs.columns if keep is None else keep).withColumn("__key", F.coalesce(F.concat(F.lit("="), "__lang"), F.lit(""))), "judged")
+def _held(judged: DataFrame) -> DataFrame:
+    """``judged`` (a written table) with ``kept``: the verdict of base rules and bands."""
     band = written(bands(judged), "bands")
-    joined = judged.join(band, "__key", "left")
     room = WIDTH * F.sqrt(F.col("spread") * F.col("spread") + F.col("noise") * F.col("noise") / F.greatest(F.col("__n"), F.lit(1.0)))
     inside = F.abs(F.col("__nll") - F.col("mid")) <= room
-    plain = [c for c in judged.columns if not c.startswith("__") and c != "kept"]
-    return joined.select(*[F.col(f"`{c}`") for c in plain if c != "perplexity"], F.exp("__nll").alias("perplexity"), (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"))
+    return judged.drop("kept").join(band, "__key", "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
+
+
+def _keyed(judged: DataFrame) -> DataFrame:
+    return judged.withColumn("__key", F.coalesce(F.concat(F.lit("="), "__lang"), F.lit("")))
+
+
+def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """``keep`` (default: all columns; added columns replace those of their name) with the base counts, base_failed,
+    perplexity and kept."""
+    judged = written(_keyed(scored(docs, train(docs), docs.columns if keep is None else keep)), "judged")
+    plain = [c for c in judged.columns if not c.startswith("__") and c not in ("kept", "perplexity")]
+    return _held(judged).select(*[F.col(f"`{c}`") for c in plain], F.exp("__nll").alias("perplexity"), "kept")
+
+
+def filter_kept(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, with its columns."""
+    packed = docs.select("text", "lang", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    judged = written(_keyed(scored(packed, train(docs), ["__row"])), "judged")
+    return _held(judged).where("kept").select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])

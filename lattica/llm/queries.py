@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, line_windows, minhash, mixing, neardup_vectors, perplexity, warc_zip
+from . import bpe, bwt_dedup, chat, classifier, line_windows, minhash, mixing, neardup_vectors, perplexity, warc_zip
 from .common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -27,6 +27,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(table(spark, sf_dir, "documents")).taken()
 
 
+def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_chat_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -54,6 +58,10 @@ def op9_minhash_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_bwt_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_dedup.dedup_bytes(table(spark, sf_dir, "documents"))
+
+
 OP4_SQL = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -104,7 +112,7 @@ FROM documents d LEFT JOIN left_over o ON d.doc_id IS NOT DISTINCT FROM o.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_mix_sources, op4_chat_prefixes, op5_vector_passes, op6_warc_zip, op7_perplexity_rules, op8_line_windows, op9_minhash_stars)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_mix_sources, op3_importance_resampling, op4_chat_prefixes, op5_vector_passes, op6_warc_zip, op7_perplexity_rules, op8_line_windows, op9_minhash_stars, op10_bwt_intervals)}
 
 
 def oracle_sql() -> dict[str, str]:
