@@ -193,7 +193,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     if not more.isEmpty():
         comp = written(components(edges.unionByName(more)), "components")
     joined = found.join(classes.select("n", "s1", "s2", "node"), ["n", "s1", "s2"], "left").join(comp.withColumnRenamed("component", "__c"), "node", "left")
-    component = F.when(F.col("n") > 0, F.coalesce("__c", "node", "doc_id")).otherwise(F.col("doc_id"))
+    component = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("__c", "node", "doc_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 

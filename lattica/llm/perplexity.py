@@ -40,6 +40,8 @@ from .common import written
 from .textnp import SPACE, chunks, mix, prefix_hash, span_hash, spans, windows_hash
 
 ORDER, BITS, WIDTH, REPEAT = 4, 20, 6.0, 8
+#: Log probability below the lowest order: one of the code points that Unicode has assigned.
+FLOOR = float(np.log(1 / 150_000))
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 BASE_COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -185,23 +187,25 @@ def _counting(batches):
 
 
 class Model:
-    """Sorted hash arrays of each order: keys, log probabilities and log back-off weights."""
+    """For each order a sorted hash array of n-grams with their log probabilities, and one of contexts with their log back-off weights."""
 
-    def __init__(self, arrays: list[tuple[np.ndarray, np.ndarray, np.ndarray]], floor: float):
-        self.arrays, self.floor, self.index = arrays, floor, None
+    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], contexts: list[tuple[np.ndarray, np.ndarray]], floor: float):
+        self.grams, self.contexts, self.floor, self.index = grams, contexts, floor, None
 
     def __getstate__(self):
         return self.__dict__ | {"index": None}
 
-    def _find(self, order: int, key: np.ndarray) -> np.ndarray:
-        """Places of keys in the sorted array of an order, -1 where there is none; by an index over all hashes."""
+    def _find(self, kind: int, order: int, key: np.ndarray) -> np.ndarray:
+        """Places of keys in a sorted array, -1 where there is none; by an index over all hashes."""
         if self.index is None:
             self.index = []
-            for keys, _, _ in self.arrays:
-                at = np.full(1 << BITS, -1, np.int32)
-                at[keys] = np.arange(len(keys), dtype=np.int32)
-                self.index.append(at)
-        return self.index[order - 1][key]
+            for arrays in (self.grams, self.contexts):
+                self.index.append([])
+                for keys, _ in arrays:
+                    at = np.full(1 << BITS, -1, np.int32)
+                    at[keys] = np.arange(len(keys), dtype=np.int32)
+                    self.index[-1].append(at)
+        return self.index[kind][order - 1][key]
 
     def nll(self, points: np.ndarray, offsets: np.ndarray, lang: np.ndarray) -> np.ndarray:
         """Negative log probability of each code point."""
@@ -209,23 +213,21 @@ class Model:
         out = np.full(len(points), self.floor)
         todo, weight = np.arange(len(points)), np.zeros(len(points))
         for order in range(ORDER, 0, -1):
-            at = self._find(order, gram_keys(parts[ORDER - order :], lang))
+            at = self._find(0, order, gram_keys(parts[ORDER - order :], lang))
             hit = at >= 0
-            out[todo[hit]] = self.arrays[order - 1][1][at[hit]] + weight[hit]
+            out[todo[hit]] = self.grams[order - 1][1][at[hit]] + weight[hit]
             miss = ~hit
             todo, weight, lang, parts = todo[miss], weight[miss], lang[miss], [p[miss] for p in parts]
             if not len(todo):
                 break
-            if order > 1:
-                at = self._find(order - 1, gram_keys(parts[ORDER - order : ORDER - 1], lang))
-                weight[at >= 0] += self.arrays[order - 2][2][at[at >= 0]]
+            at = self._find(1, order, gram_keys(parts[ORDER - order : ORDER - 1], lang))
+            weight[at >= 0] += self.contexts[order - 1][1][at[at >= 0]]
         out[todo] = self.floor + weight
         return -out
 
 
 def train(docs: DataFrame) -> Model:
     """Count the n-grams of ``docs(text, lang)`` and estimate the model."""
-    spark = docs.sparkSession
     points = ", ".join(f"p{i} int" for i in range(ORDER))
     counted = docs.select("text", "lang").mapInArrow(_counting, f"lang string, {points}, count long")
     p = [F.col(f"p{i}") for i in range(ORDER)]
@@ -235,7 +237,7 @@ def train(docs: DataFrame) -> Model:
         up = orders[n + 1]
         own = [f"p{i}" for i in range(ORDER - n, ORDER)]
         orders[n] = up.groupBy("lang", *own).agg(F.count("*").alias("count"))
-    arrays, lower = [], None
+    arrays, contexts, lower = [], [], None
     for n in range(1, ORDER + 1):
         grams = written(_hashed(orders[n], n).groupBy("key", "context", "lower").agg(F.sum("count").alias("count")), "hashed")
         of = {r[0]: r[1] for r in grams.where("count <= 4").groupBy("count").agg(F.count("*")).collect()}
@@ -245,29 +247,23 @@ def train(docs: DataFrame) -> Model:
         discount = F.when(F.col("count") == 1, d[0]).when(F.col("count") == 2, d[1]).otherwise(d[2])
         totals = grams.groupBy("context").agg(F.sum("count").alias("total"), F.sum(discount).alias("off"))
         rows = grams.join(totals, "context").groupBy("key").agg(
-            F.first(F.col("lower")).alias("lower"), F.max((F.col("count") - discount) / F.col("total")).alias("own"), F.max(F.col("off") / F.col("total")).alias("rest"))
+            F.min("lower").alias("lower"), F.max((F.col("count") - discount) / F.col("total")).alias("own"), F.max(F.col("off") / F.col("total")).alias("rest"))
         got = rows.toArrow()  # at most 2**BITS rows
         keys = got["key"].to_numpy()
         order = np.argsort(keys)
         keys, own, rest, low = keys[order], got["own"].to_numpy()[order], got["rest"].to_numpy()[order], got["lower"].to_numpy()[order]
         if n == 1:
-            base = np.full(len(keys), 1.0 / (len(keys) + 1))
+            base = np.full(len(keys), np.exp(FLOOR))
         else:
             i = np.minimum(np.searchsorted(lower[0], low), len(lower[0]) - 1)
-            base = np.where(lower[0][i] == low, np.exp(lower[1][i]), 1e-7) if len(lower[0]) else np.full(len(keys), 1e-7)
+            base = np.where(lower[0][i] == low, np.exp(lower[1][i]), np.exp(FLOOR)) if len(lower[0]) else np.full(len(keys), np.exp(FLOOR))
         prob = np.log(np.maximum(own + rest * base, 1e-12))
-        back = totals.select(F.col("context").alias("key"), (F.col("off") / F.col("total")).alias("rest")).toArrow()
-        arrays.append([keys, prob.astype(np.float32), np.zeros(len(keys), np.float32)])
-        if n > 1 and back.num_rows:  # the weight is kept with the context, an n-gram of the order below
-            keys_below, _, weights = arrays[n - 2]
-            k = back["key"].to_numpy()
-            i = np.searchsorted(keys_below, k)
-            ok = i < len(keys_below)
-            ok[ok] = keys_below[i[ok]] == k[ok]
-            weights[i[ok]] = np.log(np.maximum(back["rest"].to_numpy()[ok], 1e-9))
+        back = totals.select("context", F.log(F.col("off") / F.col("total")).alias("weight")).toArrow()
+        by = np.argsort(k := back["context"].to_numpy())
+        arrays.append((keys, prob.astype(np.float32)))
+        contexts.append((k[by], back["weight"].to_numpy()[by].astype(np.float32)))
         lower = (keys, prob)
-    floor = float(np.log(1.0 / (len(arrays[0][0]) + 1) * 0.1)) if len(arrays[0][0]) else -7.0
-    return Model([tuple(a) for a in arrays], floor)
+    return Model(arrays, contexts, FLOOR)
 
 
 def _hashed(grams: DataFrame, n: int) -> DataFrame:

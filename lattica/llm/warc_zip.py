@@ -89,7 +89,7 @@ def members(read, size: int) -> dict[str, tuple[int, int, int]]:
     tail_at = max(0, size - 65_557)
     tail = read(tail_at, size - tail_at)
     at = tail.rfind(b"PK\5\6")
-    while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
+    while at >= 0 and (at + 22 > len(tail) or at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail)):
         at = tail.rfind(b"PK\5\6", 0, at)
     if at < 0:
         raise ValueError("no end of a central directory")
