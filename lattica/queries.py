@@ -666,3 +666,35 @@ def distance_sphere(spark, sf_dir):
 @query(f"WITH {_LINES} SELECT id, min(x) AS xmin, min(y) AS ymin, max(x) AS xmax, max(y) AS ymax, count(*) AS n_points FROM pts GROUP BY id")
 def line_envelope(spark, sf_dir):
     return _lines(spark, sf_dir).select("id", *[c.alias(k) for k, c in geo.envelope(F.col("points")).items()], F.size("points").cast("long").alias("n_points"))
+
+
+_BX = """bx AS (SELECT s_suppkey AS id, (s_suppkey * 29 % 3300) / 10e0 - 170 AS xmin, (s_suppkey * 17 % 1500) / 10e0 - 80 AS ymin FROM supplier)"""
+
+
+@query(f"""WITH {_BX} SELECT id, xmin + 12 < 0 AS is_left, ymin > 9 AS is_above, xmin + 12 <= 20 AS not_right, xmin <= 20 AND xmin + 12 >= 0 AND ymin <= 9 AND ymin + 9 >= 0 AS meets, xmin >= -30 AND xmin + 12 <= 90 AND ymin >= -40 AND ymin + 9 <= 80 AS inside,
+round(sqrt(power(greatest(0 - (xmin + 12), xmin - 20, 0e0), 2) + power(greatest(0 - (ymin + 9), ymin - 9, 0e0), 2)), 9) AS away, round(sqrt(power(xmin + 6 - 10, 2) + power(ymin + 4.5 - 4.5, 2)), 9) AS centres FROM bx""")
+def box_relations(spark, sf_dir):
+    k = F.col("s_suppkey")
+    b = tables.table(spark, sf_dir, "supplier").select(k.alias("id"), ((k * 29 % 3300) / 10 - 170).alias("xmin"), ((k * 17 % 1500) / 10 - 80).alias("ymin"))
+    own = (F.col("xmin"), F.col("ymin"), F.col("xmin") + 12, F.col("ymin") + 9)
+    other = tuple(map(F.lit, (0.0, 0.0, 20.0, 9.0)))
+    wide = tuple(map(F.lit, (-30.0, -40.0, 90.0, 80.0)))
+    centres = geo.distance(own[0] + 6, own[1] + 4.5, F.lit(10.0), F.lit(4.5))
+    return b.select("id", geo.box_left(own[2], other[0]).alias("is_left"), geo.box_left(other[3], own[1]).alias("is_above"), geo.box_overlaps_or_left(own[2], other[2]).alias("not_right"), geo.overlaps(*own, *other).alias("meets"),
+                    geo.box_contains(*wide, *own).alias("inside"), F.round(geo.box_distance(*own, *other), 9).alias("away"), F.round(centres, 9).alias("centres"))
+
+
+@query(f"""WITH {_LINES}, ends AS (SELECT id, arg_min(x, event_id) AS x0, arg_min(y, event_id) AS y0, arg_max(x, event_id) AS x1, arg_max(y, event_id) AS y1, count(*) AS n, min(sqrt((x - 50) * (x - 50) + (y - 50) * (y - 50))) AS near, max(sqrt((x - 50) * (x - 50) + (y - 50) * (y - 50))) AS far FROM pts GROUP BY id)
+SELECT id, n AS n_points, x1 + 1 AS first_x, y1 - 2 AS first_y, x0 = x1 AND y0 = y1 AND n > 1 AS closed, round(far, 9) AS far, round(near, 9) AS near FROM ends""")
+def line_accessors(spark, sf_dir):
+    p = F.col("points")
+    centre = F.array(geo.point(F.lit(50.0), F.lit(50.0)))
+    moved = geo.translate(geo.reverse(p), F.lit(1.0), F.lit(-2.0))
+    near = F.array_min(F.transform(p, lambda q: geo.distance(q["x"], q["y"], F.lit(50.0), F.lit(50.0))))
+    return _lines(spark, sf_dir).select("id", geo.n_points(p).alias("n_points"), moved[0]["x"].alias("first_x"), moved[0]["y"].alias("first_y"), geo.is_closed(p).alias("closed"), F.round(geo.max_distance(p, centre), 9).alias("far"), F.round(near, 9).alias("near"))
+
+
+@query(f"""WITH {POINTS} SELECT id, 'cx="' || {_X} || '" cy="' || regexp_replace((-y)::VARCHAR, '\\.0$', '') || '"' AS svg, '<Point><coordinates>' || {_X} || ',' || {_Y} || '</coordinates></Point>' AS kml FROM pts WHERE x IS NOT NULL AND y <> 0""")
+def point_markup(spark, sf_dir):
+    p = tables.points(spark, sf_dir).where("x is not null and y <> 0")
+    return p.select("id", geo.as_svg(F.col("x"), F.col("y")).alias("svg"), geo.as_kml(F.col("x"), F.col("y")).alias("kml"))

@@ -322,3 +322,14 @@ def test_registered_queries():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and "window_read_extent" in entry.queries()
+
+
+def test_geohash_and_processing(spark):
+    # published examples of the code
+    got = spark.createDataFrame([(-5.6, 42.6), (10.40744, 57.64911)], "x double, y double").select(geo.geohash(F.col("x"), F.col("y"), 5).alias("h")).collect()
+    assert [r.h for r in got] == ["ezs42", "u4pru"]
+    line = geo.make_line(geo.point(F.lit(0), F.lit(0)), geo.point(F.lit(10), F.lit(0)))
+    r = spark.range(1).select(
+        F.size(geo.segmentize(line, 3.0)).alias("n"), geo.line_length(geo.segmentize(line, 3.0)).alias("same"), geo.point_line_distance(line, F.lit(5.0), F.lit(2.0)).alias("d"), geo.hausdorff(line, F.array(geo.point(F.lit(0), F.lit(1)))).alias("h"),
+        F.size(geo.boundary(line)).alias("two"), F.size(geo.boundary(geo.make_box(*map(F.lit, (0, 0, 1, 1))))).alias("none"), geo.perimeter(geo.make_box(*map(F.lit, (0, 0, 2, 3)))).alias("p"), geo.dwithin(F.lit(0.0), F.lit(0.0), F.lit(3.0), F.lit(4.0), 5.0).alias("w")).first()
+    assert (r.n, r.same, r.d, round(r.h, 6), r.two, r.none, r.p, r.w) == (5, 10.0, 2.0, round(101**0.5, 6), 2, 0, 10.0, True)
