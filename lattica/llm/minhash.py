@@ -7,12 +7,12 @@ picks. ``BANDS`` bands of bins are bucket keys.
 
 Documents with the same set are one class first, so thousands of copies are
 one row from then on. In a bucket only star-shaped edges are candidates: from
-its least class to each other one, so a bucket of m classes gives m-1 edges.
+its hub, the class that meets most others over all bands, to each other one, so
+a bucket of m classes gives m-1 edges.
 Every edge is confirmed on the full sets. In buckets whose classes are not all
-connected by then, classes of different components are candidates as well, as
-far as their sizes and their similarities with the hub, which are known
-exactly, allow a link (1 - similarity keeps the triangle inequality). So no
-link between components that meet in a bucket is lost, while buckets of one
+connected by then, classes of different components are candidates as well if
+what they have differently from the hub, of the full sets, allows a link (see
+``open_pairs``). So no link between components that meet in a bucket is lost, while buckets of one
 component, which is what large groups of copies are, cost one edge a class.
 
 With 25 bands of 5 bins a pair at the threshold of 0.85 shares no bucket with
@@ -28,9 +28,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, maybe_in, written
 from .textnp import LOWER, SPACE, chunks, mix, prefix_hash, span_hash, spans, windows_hash
 
 WORDS = 5
@@ -107,7 +108,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, s1, s2, keys): size and 128-bit digest of the set and its bucket keys (null if empty)."""
+    """(doc_id, n, s1, s2, keys): size and 128-bit digest of the set and its bucket keys."""
 
     def run(batches):
         for batch in batches:
@@ -124,39 +125,88 @@ def sets_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, keys array<long>")
 
 
-def hashes_of(docs: DataFrame) -> DataFrame:
-    """(node, set): sorted shingle hashes as binary."""
+def _sets(texts) -> tuple[np.ndarray, np.ndarray]:
+    """Sets of a column of texts, one after the other, and their offsets."""
+    parts, sizes = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for _, data, offsets in chunks(texts):
+        hashes, at = shingle_sets(data, offsets)
+        parts.append(hashes)
+        sizes.append(np.diff(at))
+    return np.concatenate(parts), np.cumsum(np.concatenate(sizes))
+
+
+def similarity(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """``pairs(a, b)`` with ``inter`` and ``both``: sizes of intersection and union of the full sets of ``docs(node, text)``.
+
+    Texts are shuffled, not sets: they compress to less. Those in no pair are left out before.
+    """
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0)
-            for i, data, offsets in chunks(batch.column(1)):
-                hashes, at = shingle_sets(data, offsets)
-                binary = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(hashes))])
-                yield pa.RecordBatch.from_arrays([ids.slice(i, len(at) - 1), binary], ["node", "set"])
-
-    return docs.select("node", "text").mapInArrow(run, "node long, set binary")
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                (x, ax), (y, ay) = _sets(part.column(2)), _sets(part.column(3))
+                inter = np.zeros(part.num_rows, np.int64)
+                for i in range(part.num_rows):
+                    short, long = x[ax[i] : ax[i + 1]], y[ay[i] : ay[i + 1]]
+                    if len(short) > len(long):
+                        short, long = long, short
+                    if len(short):
+                        at = np.searchsorted(long, short)
+                        at[at == len(long)] = 0
+                        inter[i] = (long[at] == short).sum()
+                both = np.diff(ax) + np.diff(ay) - inter
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(inter), pa.array(both)], ["a", "b", "inter", "both"])
+
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    texts = maybe_in(docs, F.col("node"), nodes, F.col("node"))
+    one = pairs.select("a", "b").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    two = one.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
+    return two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, inter long, both long")
 
 
-def similarity(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs(a, b)`` with ``inter`` and ``both`` (sizes of intersection and union) from the full sets."""
+def differences(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(hub, node, shingle): shingles that only one of both has, of the full sets."""
 
     def run(batches):
         for batch in batches:
-            inter, both = [], []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                short, long = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.searchsorted(long, short)
-                at[at == len(long)] = 0
-                same = int((long[at] == short).sum()) if len(long) else 0
-                inter.append(same)
-                both.append(len(x) + len(y) - same)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(inter, pa.int64()), pa.array(both, pa.int64())], ["a", "b", "inter", "both"])
-
-    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
-    two = one.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    return two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, inter long, both long")
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                (x, ax), (y, ay) = _sets(part.column(2)), _sets(part.column(3))
+                found = [np.setxor1d(x[ax[i] : ax[i + 1]], y[ay[i] : ay[i + 1]], assume_unique=True) for i in range(part.num_rows)]
+                sizes = np.array([len(f) for f in found], np.int64)
+                ids = [np.repeat(part.column(i).to_numpy(), sizes) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, ids), pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64))], ["hub", "node", "shingle"])
+
+    nodes = pairs.select(F.explode(F.array("hub", "node")).alias("node"))
+    texts = maybe_in(docs, F.col("node"), nodes, F.col("node"))
+    one = pairs.select("hub", "node").join(texts.select("node", F.col("text").alias("y")), "node")
+    two = one.join(texts.select(F.col("node").alias("hub"), F.col("text").alias("x")), "hub")
+    return two.select("hub", "node", "x", "y").mapInArrow(run, "hub long, node long, shingle long")
+
+
+def open_pairs(rest: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``rest(hub, node, size, c)`` with one hub and different components that may be linked; none that is linked is missing.
+
+    Two sets of together s shingles are linked if they differ in at most s * (1 - J) / (1 + J). Given what each has
+    differently from the hub, that many differences must be shared, at least one as a class outside of the hub's
+    component is that far from it. So of both lists of differences, rarest first, heads must meet (a prefix filter): in a
+    group of copies that were changed each in its own way they don't.
+    """
+    diff = differences(rest, docs)
+    often = diff.groupBy("hub", "shingle").agg(F.count("*").alias("often"))
+    mine = Window.partitionBy("hub", "node")
+    listed = diff.join(often.where("often > 1"), ["hub", "shingle"], "left").withColumn("often", F.coalesce("often", F.lit(1)))
+    listed = listed.withColumns({"rank": F.row_number().over(mine.orderBy("often", "shingle")), "n": F.count("*").over(mine)}).where("often > 1")
+    listed = written(listed.join(rest, ["hub", "node"]).select("hub", "shingle", "node", "rank", "n", "size", "c"), "differences")
+    x, y = (listed.select("hub", "shingle", *[F.col(k).alias(k + s) for k in ("node", "rank", "n", "size", "c")]) for s in ("1", "2"))
+    both = F.col("size1") + F.col("size2")
+    far = (F.col("n1") + F.col("n2")) * F.lit(100 + percent) - both * F.lit(100 - percent)  # twice the shared ones needed, times 100 + percent
+    need = F.greatest(F.ceil(far / F.lit(2.0 * (100 + percent))), F.lit(1).cast("long"))
+    close = F.least("size1", "size2") * 100 >= F.greatest("size1", "size2") * percent
+    heads = (F.col("rank1") <= F.col("n1") - need + 1) & (F.col("rank2") <= F.col("n2") - need + 1)
+    met = x.join(y, ["hub", "shingle"]).where((F.col("node1") < F.col("node2")) & (F.col("c1") != F.col("c2")) & close & heads)
+    return met.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -166,29 +216,27 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     # classes of equal sets: hub copies are combined before the shuffle
     classes = written(full.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")), "classes")
     member = classes.select(F.col("n").alias("size"), "node", F.posexplode("keys").alias("band", "bucket"))
-    buckets = member.groupBy("band", "bucket").agg(F.min("node").alias("hub"), F.count("*").alias("m")).where("m > 1")
-    stars = written(member.join(buckets, ["band", "bucket"]).select("band", "bucket", "hub", "node", "size"), "stars")
-    sizes = classes.select("node", F.col("n").alias("hub_size")).withColumnRenamed("node", "hub")
-    close = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
-    pairs = stars.where("node <> hub").select("hub", "node", "size").distinct().withColumnRenamed("node", "b").withColumnRenamed("hub", "a")
-    pairs = written(pairs.join(sizes.withColumnRenamed("hub", "a"), "a"), "pairs")
-    in_pairs = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(in_pairs, "node", "left_semi").dropDuplicates(["node"])
-    sets = written(hashes_of(texts), "hashes")
-    known = written(similarity(pairs.select("a", "b"), sets).select("a", "b", "inter", "both", (F.col("inter") * 100 >= F.col("both") * percent).alias("link")), "known")
+    sizes = member.groupBy("band", "bucket").agg(F.count("*").alias("m")).where("m > 1")
+    shared = written(member.join(sizes, ["band", "bucket"]), "shared")
+    # the hub of a bucket is its class that meets most others in all bands: the text that a group's copies are near to
+    fame = shared.groupBy("node").agg(F.sum("m").alias("fame"))
+    ranked = shared.join(fame, "node")
+    hubs = ranked.groupBy("band", "bucket").agg(F.max_by("node", F.struct("fame", -F.col("node"))).alias("hub"))
+    stars = written(shared.join(hubs, ["band", "bucket"]).select("band", "bucket", "hub", "node", "size"), "stars")
+    pairs = written(stars.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    # rows that share an id share the node: one of their texts, the same in every run, stands for it
+    reps = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
+    if not reps.groupBy("node").count().where("count > 1").isEmpty():
+        reps = reps.where("node is not null").groupBy("node").agg(F.min("text").alias("text"))
+    known = written(similarity(pairs, reps).withColumn("link", F.col("inter") * 100 >= F.col("both") * percent), "known")
     edges = written(known.where("link").select("a", "b"), "links")
     comp = written(components(edges), "components")
     label = stars.join(comp.withColumnRenamed("node", "n_"), F.col("node") == F.col("n_"), "left").select(
         "band", "bucket", "hub", "node", "size", F.coalesce("component", "node").alias("c"))
-    label = label.join(known.select(F.col("a").alias("hub"), F.col("b").alias("node"), "inter", "both"), ["hub", "node"], "left")
-    label = label.withColumn("d", F.when(F.col("node") == F.col("hub"), F.lit(0.0)).otherwise(1 - F.col("inter") / F.col("both")))
     mixed = label.groupBy("band", "bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo < hi and m > 2")
-    rest = written(label.join(mixed.select("band", "bucket"), ["band", "bucket"]).where("node <> hub").select("band", "bucket", "node", "size", "c", "d"), "rest")
-    x, y = (rest.select("band", "bucket", *[F.col(k).alias(k + s) for k in ("node", "size", "c", "d")]) for s in ("1", "2"))
-    far = F.abs(F.col("d1") - F.col("d2")) > 1 - percent / 100 + 1e-9
-    more = x.join(y, ["band", "bucket"]).where((F.col("node1") < F.col("node2")) & (F.col("c1") != F.col("c2")) & close(F.col("size1"), F.col("size2")) & ~far)
-    more = more.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-    more = similarity(more, sets).where(F.col("inter") * 100 >= F.col("both") * percent).select("a", "b")
+    rest = label.join(mixed.select("band", "bucket"), ["band", "bucket"]).where("node <> hub").select("hub", "node", "size", "c").distinct()
+    more = written(open_pairs(written(rest, "rest"), reps, percent).join(known.select("a", "b"), ["a", "b"], "left_anti"), "open")
+    more = similarity(more, reps).where(F.col("inter") * 100 >= F.col("both") * percent).select("a", "b")
     more = written(more, "more")
     if not more.isEmpty():
         comp = written(components(edges.unionByName(more)), "components")
