@@ -5,9 +5,10 @@ Every ``LENGTH``-byte string of a document has an anchor: the least hash of its
 equal offsets, so strings are only to be compared under one anchor. Successive
 strings with the same anchor make a snippet (139 bytes on average). Only
 hashes and places are shuffled: anchors met once are dropped by a partial
-aggregation, equal snippets are one class with its first place.
+aggregation, equal snippets are one class with its first place. A class that is
+alone under its anchor has nothing to be compared with.
 
-The classes' bytes are gathered into texts of whole anchors, of about
+The other classes' bytes are gathered into texts of whole anchors, of about
 ``TEXT`` bytes. On the Burrows-Wheeler transform of a text, intervals are
 extended backward breadth-first: level l derives all common prefixes of value
 l. It stops at ``LENGTH``: suffixes without a value by then share that many
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import maybe_in, written
 from .textnp import chunks, mix, prefix_hash, ranges, span_hash
 
 LENGTH, GRAM = 100, 16
@@ -80,7 +81,7 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     n = len(text)
     padded = np.concatenate((text, np.zeros(8, np.uint8)))
     key = np.ndarray(n, ">u8", padded, strides=(1,)).astype(np.uint64)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key = key[order]
     head = np.concatenate(([True], key[1:] != key[:-1]))
     rank = np.empty(n + 1, np.int64)
@@ -95,7 +96,7 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
             break
         items = order[slots]
         key = (rank[items] << 32) | (rank[np.minimum(items + h, n)] + 1)
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         key, items = key[by], items[by]
         order[slots] = items
         new = np.concatenate(([True], key[1:] != key[:-1]))
@@ -117,8 +118,21 @@ def shared_prefixes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
     letter = np.concatenate(([True], before[by][1:] != before[by][:-1]))  # rows where the suffixes of a byte begin
     value = np.full(n + 1, -1, np.int16)
     value[n] = 0
-    lo, hi = np.array([0]), np.array([n - 1])
-    for level in range(length):
+    lo, hi, begin = np.array([0]), np.array([n - 1]), 0
+    if length > 8:  # values below 8 are those of the 8-byte keys; the intervals of 8 bytes found by value 7 go on
+        key = np.ndarray(n, ">u8", np.concatenate((text, np.zeros(8, np.uint8))), strides=(1,)).astype(np.uint64)[order]
+        differ = key[1:] ^ key[:-1]
+        low = np.zeros(n - 1, np.int16)
+        for k in range(1, 9):
+            low += differ < np.uint64(1 << (64 - 8 * k)) if k < 8 else differ == 0
+        low[0] = 0  # the empty suffix
+        value[1:n][low < 8] = low[low < 8]
+        heads = np.flatnonzero(np.concatenate(([True], low < 8)))
+        tails = np.append(heads[1:], n) - 1
+        seeds = value[tails + 1] == 7
+        seeds[-1] = False
+        lo, hi, begin = heads[seeds], tails[seeds], 8
+    for level in range(begin, length):
         one = lo == hi
         single = step[lo[one]]
         wide_lo, size = lo[~one], (hi - lo + 1)[~one]
@@ -179,6 +193,58 @@ def _anchors(docs: DataFrame, only: bool) -> DataFrame:
     return docs.mapInArrow(run, "a long" if only else "doc long, th int, start int, len int, a long, s long")
 
 
+ORDER = ["a", "s", "len", "doc", "th", "start"]
+COPY, ALONE, FIRST = 0, 1, 2
+
+
+def _heads(places: DataFrame, last: bool) -> DataFrame:
+    """Places with their kind, from partitions that are sorted by ORDER: COPY of an equal snippet of the partition before
+    it, or FIRST of its class. With ``last``, partitions hold whole anchors: a class that is alone under its anchor has
+    nothing to be compared with and is left out. Places that occur twice (equal rows) count once.
+    """
+
+    def emit(c: dict, kind: np.ndarray, on: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c[k][on]) for k in PLACES] + [pa.array(kind[on])], [*PLACES, "kind"])
+
+    def run(batches):
+        before, held, many = None, None, None  # last place, a first class held back, and the last anchor that has several
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c = {k: batch.column(i).to_numpy() for i, k in enumerate(PLACES)}
+            old = {k: np.concatenate(([c[k][0] if before is None else before[k]], c[k][:-1])) for k in PLACES}
+            same = np.ones(batch.num_rows, bool)
+            for k in ("a", "s", "len"):
+                same &= c[k] == old[k]
+            twice = same.copy()
+            for k in ("doc", "th", "start"):
+                twice &= c[k] == old[k]
+            if before is None:
+                same[0] = twice[0] = False
+            kind = np.where(same, COPY, FIRST).astype(np.int8)
+            before = {k: c[k][-1] for k in PLACES}
+            if not last:
+                yield emit(c, kind, ~twice)
+                continue
+            if held is not None:  # it comes first, as it is sorted before
+                c = {k: np.concatenate((held[k], c[k])) for k in PLACES}
+                kind, twice, held = np.concatenate(([FIRST], kind)).astype(np.int8), np.concatenate(([False], twice)), None
+            new = np.concatenate(([True], c["a"][1:] != c["a"][:-1]))
+            group = np.cumsum(new) - 1
+            classes = np.bincount(group, kind == FIRST)
+            several = classes > 1
+            several[0] |= many is not None and c["a"][0] == many
+            kind[(kind == FIRST) & ~several[group]] = ALONE
+            tail = group == group[-1]
+            if several[-1]:
+                many = c["a"][-1]
+            elif (open_ := np.flatnonzero(tail & (kind == ALONE))).size:
+                held = {k: c[k][open_] for k in PLACES}
+            yield emit(c, kind, ~twice & (kind != ALONE))
+
+    return places.sortWithinPartitions(*ORDER).mapInArrow(run, "doc long, th int, start int, len int, a long, s long, kind byte")
+
+
 def _bytes(firsts: DataFrame, docs: DataFrame) -> DataFrame:
     """``firsts`` with the bytes of each snippet."""
     per = firsts.groupBy("doc", "th").agg(F.collect_list(F.struct("start", "len", "a")).alias("parts"))
@@ -248,24 +314,29 @@ def keyed(docs: DataFrame) -> DataFrame:
     """(doc, th, text): ids without nulls, and a hash of the text where ids repeat."""
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     repeats = not docs.groupBy(ids).count().where("count > 1").isEmpty()
-    return docs.select(ids.alias("doc"), (F.hash("text") if repeats else F.lit(0)).alias("th"), "text")
-
-
-def removed(docs: DataFrame) -> DataFrame:
-    """(doc, th, spans): the byte intervals, not merged, that go from each document of ``keyed`` docs."""
-    met = _anchors(docs, True).groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
-    places = written(_anchors(docs, False).join(met, "a", "left_semi").select(*PLACES).distinct(), "places")
-    classes = written(places.groupBy("a", "s", "len").agg(F.min(F.struct("doc", "th", "start")).alias("f")), "classes")
-    firsts = classes.select("f.doc", "f.th", "f.start", "len", "a")
-    copies = places.join(classes, ["a", "s", "len"]).where("struct(doc, th, start) <> f").select("doc", "th", F.col("start").alias("begin"), (F.col("start") + F.col("len")).alias("end"))
-    cut = copies.unionByName(_expand(_bytes(firsts, docs.dropDuplicates(["doc", "th"]))))
+    # without repeats a zero, in a form that stays a key of joins
+    return docs.select(ids.alias("doc"), (F.hash("text") if repeats else (ids % 1).cast("int")).alias("th"), "text")
+
+
+def removed(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """(doc, th, spans): the byte intervals, not merged, that go from each document of ``keyed`` docs; ``placed`` are those, dealt by key."""
+    met = written(_anchors(docs, True).groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "met")
+    # a hot anchor may be split by this join: what is first in a part of it is compared again below, the rest is copies
+    places = maybe_in(_anchors(docs, False), F.col("a"), met, F.col("a"), 19).join(met, "a", "left_semi").select(*PLACES)
+    parts = written(_heads(places, False), "parts")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    heads = written(_heads(parts.where(F.col("kind") == FIRST).select(*PLACES).repartition(n, "a"), True), "heads")
+    copies = parts.where(F.col("kind") == COPY).unionByName(heads.where(F.col("kind") == COPY)).select("doc", "th", F.col("start").alias("begin"), (F.col("start") + F.col("len")).alias("end"))
+    cut = copies.unionByName(_expand(_bytes(heads.where(F.col("kind") == FIRST), placed)))
     return cut.groupBy("doc", "th").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
 
 
 def dedup_bytes(docs: DataFrame, text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of ``docs(doc_id, text)``; with ``text`` also the bytes that stay."""
     base = keyed(docs)
-    joined = base.join(removed(base), ["doc", "th"], "left").select("doc", "text", "spans")
+    # both joins with the texts use this one exchange
+    placed = base.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc", "th")
+    joined = placed.join(removed(base, placed), ["doc", "th"], "left").select("doc", "text", "spans")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * text
 
     def run(batches):
