@@ -3,13 +3,14 @@
 Two generative models of hashed word unigrams and bigrams (``BUCKETS`` buckets
 each with additive smoothing): one of target texts, one of all texts. A
 document's log weight is the sum over its n-grams of the log ratio of the
-models; the rows with the largest weight plus Gumbel noise are kept, which
+models, where a bucket's counts differ by more than chance; the rows with the largest weight plus Gumbel noise are kept, which
 draws without replacement in proportion to the weights.
 
 Target texts are documents labelled good and not toxic, at most ``max_labels``
 labelled rows, chosen by a hash of the id (that many ids are broadcast: 16 MB
-at most). All documents are counted for the raw model, all are scored. The
-share that is kept is the share of target rows among the labelled ones.
+at most). All documents are counted for the raw model, all are scored. How many
+are kept is a parameter; by default as many as reach the value that a share
+``keep_good`` of the target documents reaches.
 
 The k-th largest value is found without gathering the rows: counts by bin give
 the bin that holds it, and only that bin is ordered.
@@ -30,6 +31,8 @@ from .common import written
 from .textnp import LOWER, SPACE, chunks, mix, prefix_hash, span_hash, spans
 
 BUCKETS, SMOOTH = 1 << 17, 0.5
+#: Standard errors by which a bucket's target count must leave the raw model's expectation to tell anything.
+SURE = 3.0
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,8 +73,10 @@ def log_ratios(docs: DataFrame, good: DataFrame) -> np.ndarray:
     total = target.sum()
     if not total:
         return np.zeros(BUCKETS)
+    expected = raw * (total / raw.sum())
+    sure = np.abs(target - expected) > SURE * np.sqrt(expected + 1)
     prior = SMOOTH * (raw + 1) / (raw + 1).mean()  # smoothed toward the raw model: unseen n-grams say little
-    return np.log((target + prior) / (total + prior.sum())) - np.log((raw + prior) / (raw.sum() + prior.sum()))
+    return sure * (np.log((target + prior) / (total + prior.sum())) - np.log((raw + prior) / (raw.sum() + prior.sum())))
 
 
 def weights(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
@@ -90,16 +95,18 @@ def weights(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), "text").mapInArrow(run, f"doc_id {kind}, h long, log_weight double, n_features long")
 
 
-def resample(docs: DataFrame, labels: DataFrame, max_labels: int = 1_000_000, seed: int = 1) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, keep_good: float = 0.99, max_labels: int = 1_000_000, seed: int = 1) -> DataFrame:
     """(doc_id, log_weight, kept) of ``docs(doc_id, text)`` given ``labels(doc_id, quality, toxic)``."""
     some = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min((F.col("quality") == 1) & ~F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("good"))
     some = written(some.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_labels), "labels")
-    n, good = some.agg(F.count("*"), F.count_if("good")).first()
-    scores = weights(docs, log_ratios(docs, some.where("good").select("doc_id")))
+    good = some.where("good").select("doc_id")
+    scores = weights(docs, log_ratios(docs, good))
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "h"), 11) + 0.5) / float(1 << 53)
     scores = written(scores.withColumn("value", F.col("log_weight") - F.log(-F.log(uniform))), "weights")
     rows = scores.count()
-    k = round(rows * good / n) if n else rows
+    if k is None:
+        cut = scores.join(F.broadcast(good), "doc_id", "left_semi").agg(F.percentile("value", 1 - keep_good)).first()[0]  # at most max_labels values
+        k = rows if cut is None else scores.where(F.col("value") >= cut).count()
     if k >= rows:
         return scores.select("doc_id", "log_weight", F.lit(True).alias("kept"))
     # bins of 1/16, and of the bin that holds the k-th value the exact order by value

@@ -111,9 +111,53 @@ FROM documents d LEFT JOIN left_over o ON d.doc_id IS NOT DISTINCT FROM o.doc_id
 """
 
 
+OP5_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least_id AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links, c AS component_id, e.vec_id = c AS kept FROM embeddings e JOIN least_id ON e.vec_id = a
+"""
+
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+inter AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM inter JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * k >= 85 * (x.n + y.n - k)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least_id AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id, d.doc_id = c AS kept FROM documents d JOIN least_id ON d.doc_id = a LEFT JOIN n USING (doc_id)
+"""
+
+OP10_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+win AS (SELECT doc_id, i AS pos, hash(substr(h, 2 * i + 1, 200)) AS k1, hash('x' || substr(h, 2 * i + 1, 200)) AS k2 FROM d, LATERAL (SELECT unnest(range(0, greatest(n - 99, 0))) AS i)),
+later AS (SELECT doc_id, pos FROM win QUALIFY row_number() OVER (PARTITION BY k1, k2 ORDER BY doc_id, pos) > 1),
+edges AS (SELECT doc_id, pos, sum(e) AS e FROM (SELECT doc_id, pos, 1 AS e FROM later UNION ALL SELECT doc_id, pos + 100, -1 FROM later) GROUP BY doc_id, pos),
+depth AS (SELECT doc_id, pos, sum(e) OVER w AS depth, lead(pos) OVER w AS next FROM edges WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+spans AS (SELECT doc_id, pos, next - pos AS size, depth, coalesce(lag(depth) OVER (PARTITION BY doc_id ORDER BY pos), 0) AS before FROM depth),
+gone AS (SELECT doc_id, sum(size) FILTER (depth > 0) AS n_removed, count(*) FILTER (depth > 0 AND before = 0) AS n_spans FROM spans GROUP BY doc_id),
+stay AS (
+  SELECT d.doc_id, 0 AS pos, min(p.pos) AS upto FROM d JOIN spans p USING (doc_id) GROUP BY ALL
+  UNION ALL SELECT doc_id, s.pos, CASE WHEN s.size IS NULL THEN d.n ELSE s.pos + s.size END FROM spans s JOIN d USING (doc_id) WHERE s.depth = 0),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * pos + 1, 2 * (upto - pos)), '' ORDER BY pos) AS k FROM stay JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_byte_bpe, op2_mix_sources, op3_importance_resampling, op4_chat_prefixes, op5_vector_passes, op6_warc_zip, op7_perplexity_rules, op8_line_windows, op9_minhash_stars, op10_bwt_intervals)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_prefixes": OP4_SQL, "op6_warc_zip": OP6_SQL, "op8_line_windows": OP8_SQL}
+    return {
+        "op4_chat_prefixes": OP4_SQL, "op5_vector_passes": OP5_SQL, "op6_warc_zip": OP6_SQL, "op8_line_windows": OP8_SQL,
+        "op9_minhash_stars": OP9_SQL, "op10_bwt_intervals": OP10_SQL,
+    }
