@@ -14,19 +14,18 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .textnp import chunks, prefix_hash, ranges, span_hash
+
 NONE = np.int32(2**31 - 1)
 #: Bytes from which a piece is folded into blocks.
 FOLD = 256
 #: Pieces a worker remembers; then it starts anew. Bounds memory only.
 REMEMBERED = 300_000
-CHUNK = 2_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -39,7 +38,7 @@ class Vocabulary:
     """Ranks with an array hash table of mergeable pairs, and tables for decoding."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.pattern, self.whole = pattern, ranks
+        self.pieces, self.whole = Pieces(pattern), ranks
         self.bytes_id = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         if (self.bytes_id < 0).any():
             raise ValueError("every single byte needs a rank")
@@ -125,13 +124,13 @@ class Vocabulary:
                 cells, ranks, at, j, best = cells[on], ranks[on], at[on], j[on], best[on]
                 line = np.arange(len(cells))
             cells[line, j] = best
-            col = np.arange(cells.shape[1] - 1)
-            cells = np.take_along_axis(cells, col + (col > j[:, None]), 1)
-            if ranks.shape[1] == 1:
-                ranks = ranks[:, :0]
+            stay = np.ones(cells.shape, bool)
+            stay[line, j + 1] = False
+            cells = cells[stay].reshape(len(cells), -1)
+            stay = stay[:, 1:]  # the pair behind the merged one goes, or the last pair itself
+            ranks = ranks[stay].reshape(len(cells), -1)
+            if not ranks.shape[1]:
                 continue
-            col = np.arange(ranks.shape[1] - 1)
-            ranks = np.take_along_axis(ranks, col + (col >= np.minimum(j + 1, ranks.shape[1] - 1)[:, None]), 1)
             has = j < ranks.shape[1]
             ranks[line[has], j[has]] = self.rank(cells[line[has], j[has]], cells[line[has], j[has] + 1])
             has = j > 0
@@ -172,40 +171,152 @@ class Vocabulary:
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of a sequence of ids."""
-        from .textnp import ranges
-
         ids = np.asarray(ids, np.int64)
         return self.flat[ranges(self.starts[ids], self.lengths[ids])].tobytes()
 
 
+LETTER, NUMBER, OTHER, BLANK = 0, 1, 2, 3
+
+
+class Pieces:
+    """Cuts chunks of documents into the matches of the pattern.
+
+    For the pattern whose alternatives are contractions, optional space with
+    letters, numbers or others, and white space, all cuts of a chunk are found
+    at once from the classes of its code points. Any other pattern is matched
+    by the regex library.
+    """
+
+    FAST = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+    def __init__(self, pattern: str):
+        import regex
+
+        self.fast = pattern == self.FAST
+        # white space is the Unicode property here, without U+001C..U+001F
+        self.pattern = pattern.replace(r"[^\s\p", r"[^\p{White_Space}\p").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")
+        if self.fast:
+            self.classes = np.full(0x110000, OTHER, np.uint8)
+            every = np.array([c for c in range(0x110000) if not 0xD800 <= c < 0xE000])
+            text = "".join(map(chr, every))
+            for kind, name in ((LETTER, "L"), (NUMBER, "N"), (BLANK, "White_Space")):
+                for m in regex.finditer(rf"\p{{{name}}}+", text):
+                    self.classes[every[m.start() : m.end()]] = kind
+
+    def cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Byte offsets where pieces start."""
+        if not self.fast:
+            import regex
+
+            find, out = regex.compile(self.pattern), []
+            for a, b in zip(offsets[:-1], offsets[1:]):
+                text = data[a:b].tobytes().decode()
+                at, last = int(a), 0
+                for m in find.finditer(text):
+                    at += len(text[last : m.start()].encode())
+                    out.append(at)
+                    last = m.start()
+            return np.array(out, np.int64)
+        lead = np.flatnonzero((data & 0xC0) != 0x80)
+        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        n = len(points)
+        if not n:
+            return np.zeros(0, np.int64)
+        kind = self.classes[points]
+        first = np.zeros(n + 3, bool)  # first code points of documents
+        first[np.searchsorted(lead, offsets)] = True
+        run = first[:n].copy()
+        run[1:] |= kind[1:] != kind[:-1]
+        cut = run.copy()
+        after = np.flatnonzero(run[1:] & ~first[1:n] & (kind[:-1] == BLANK)) + 1  # what follows white space in its document
+        cut[after - 1] = True
+        cut[after[points[after - 1] == 0x20]] = False
+        quote = np.flatnonzero((points[:-1] == 0x27) & cut[:-1] & run[1:] & ~first[1:n])
+        if len(quote):
+            p = np.concatenate((points, np.zeros(3, np.uint32)))
+            one, two = p[quote + 1], np.where(first[quote + 2], 0, p[quote + 2])
+            short = np.isin(one, [ord(c) for c in "stmd"])
+            long = ~short & (((one == ord("r")) & (two == ord("e"))) | ((one == ord("v")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l"))))
+            for hit, size in ((quote[short], 2), (quote[long], 3)):
+                cut[hit + 1] = False
+                end = hit + size
+                end = end[end < n]
+                cut[end[(kind[end] == LETTER) & ~first[end]]] = True
+        return lead[cut]
+
+
 class Encoder:
-    """Splits texts by the pattern and encodes them, remembering pieces up to a bound."""
+    """Encodes chunks of documents; remembers pieces (by hash and length) up to a bound."""
 
     def __init__(self, vocabulary: Vocabulary):
-        import regex
+        self.vocabulary = v = vocabulary
+        digits = [f"{i}," for i in range(v.size)]
+        self.digit_lengths = np.array([len(d) for d in digits])
+        self.digit_starts = np.cumsum(self.digit_lengths) - self.digit_lengths
+        self.digits = np.frombuffer("".join(digits).encode(), np.uint8)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.bits = 20
+        self.keys, self.where = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
+        self.starts, self.counts, self.ids, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), 0
+
+    def _look(self, h: np.ndarray) -> np.ndarray:
+        out, todo = np.full(len(h), -1, np.int32), np.arange(len(h))
+        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(todo):
+            at = self.where[slot]
+            hit = (at >= 0) & (self.keys[slot] == h[todo])
+            out[todo[hit]] = at[hit]
+            on = ~hit & (at >= 0)
+            todo, slot = todo[on], (slot[on] + 1) & ((1 << self.bits) - 1)
+        return out
 
-        # the library's white space is the Unicode property, without U+001C..U+001F
-        self.split = regex.compile(vocabulary.pattern.replace(r"[^\s\p", r"[^\p{White_Space}\p").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")).findall
-        self.vocabulary, self.known = vocabulary, {}
-
-    def texts(self, texts: list[str]) -> Iterator[str]:
-        """For each text its decimal ids joined by commas."""
-        at = 0
-        while at < len(texts):
-            end, total = at, 0
-            while end < len(texts) and (end == at or total + len(texts[end]) <= CHUNK):
-                total += len(texts[end])
-                end += 1
-            pieces = [self.split(t) for t in texts[at:end]]
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            known = self.known
-            new = [p for p in set().union(*pieces) if p not in known]
-            for p, ids in zip(new, self.vocabulary.encode_pieces([p.encode() for p in new])):
-                known[p] = ",".join(map(str, ids.tolist()))
-            for p in pieces:
-                yield ",".join(map(known.__getitem__, p))
-            at = end
+    def _learn(self, h: np.ndarray, pieces: list[bytes]) -> None:
+        made = self.vocabulary.encode_pieces(pieces)
+        counts = np.array([len(x) for x in made])
+        self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(counts) - counts))
+        self.counts, self.ids = np.concatenate((self.counts, counts)), np.concatenate((self.ids, *made))
+        slot, number = (h >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(self.n, self.n + len(h), dtype=np.int32)
+        self.n += len(h)
+        while len(h):
+            free = np.flatnonzero(self.where[slot] < 0)
+            _, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            self.keys[slot[put]], self.where[slot[put]] = h[put], number[put]
+            rest = np.ones(len(h), bool)
+            rest[put] = False
+            h, number, slot = h[rest], number[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
+
+    def chunk(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the documents of a chunk, one after the other, and their offsets."""
+        starts = self.vocabulary.pieces.cuts(data, offsets)
+        ends = np.append(starts[1:], len(data))
+        h = span_hash(prefix_hash(data), starts, ends)
+        if self.n > REMEMBERED:
+            self._forget()
+        at = self._look(h)
+        miss = np.flatnonzero(at < 0)
+        if len(miss):
+            new, first = np.unique(h[miss], return_index=True)
+            raw, pick = data.tobytes(), miss[first]
+            while self.n + len(new) > 3 << (self.bits - 2):
+                self._forget()
+                self.bits = max(20, int(2 * len(np.unique(h))).bit_length())
+                self.keys, self.where = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
+                new, pick = np.unique(h, return_index=True)
+                miss = np.arange(len(h))
+            self._learn(new, [raw[a:b] for a, b in zip(starts[pick].tolist(), ends[pick].tolist())])
+            at[miss] = self._look(h[miss])
+        counts = self.counts[at]
+        ids = self.ids[ranges(self.starts[at], counts)]
+        total = np.concatenate(([0], np.cumsum(counts)))
+        return ids, total[np.searchsorted(starts, offsets)]
+
+    def decimal(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Decimal ids, a comma behind each, and the offsets of documents."""
+        n = self.digit_lengths[ids]
+        return self.digits[ranges(self.digit_starts[ids], n)], np.concatenate(([0], np.cumsum(n)))[offsets]
 
 
 _encoders: dict[int, Encoder] = {}
@@ -232,25 +343,22 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: list
         v = shared.value
         encoder = _encoders.get(id(v)) or _encoders.setdefault(id(v), Encoder(v))
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                cols = {c: part.column(i) for i, c in enumerate(keep)}
-                counts, arrays, a, b = [], [], [], []
-                for joined in encoder.texts([x or "" for x in part.column(len(keep)).to_pylist()]):
-                    n = joined.count(",") + 1 if joined else 0
-                    counts.append(n)
-                    seq = np.fromstring(joined, np.int32, sep=",") if joined else np.zeros(0, np.int32)
-                    if ids:
-                        arrays.append(seq)
-                    if digests:
-                        a.append(hashlib.sha256(joined.encode()).hexdigest())
-                        b.append(hashlib.sha256(v.decode(seq)).hexdigest())
-                cols["n_tokens"] = pa.array(counts, pa.int64())
+            for i, data, offsets in chunks(batch.column(len(keep))):
+                seq, at = encoder.chunk(data, offsets)
+                n = len(at) - 1
+                cols = {c: batch.column(k).slice(i, n) for k, c in enumerate(keep)}
+                cols["n_tokens"] = pa.array(np.diff(at))
                 if ids:
-                    ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-                    cols["token_ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int32)))
+                    cols["token_ids"] = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(seq))
                 if digests:
-                    cols["ids_sha256"], cols["decoded_sha256"] = pa.array(a, pa.string()), pa.array(b, pa.string())
+                    text, ends = encoder.decimal(seq, at)
+                    size = v.lengths[seq]
+                    back, cut = v.decode(seq), np.concatenate(([0], np.cumsum(size)))[at].tolist()
+                    text, ends = memoryview(text), ends.tolist()
+                    sha = lambda x: hashlib.sha256(x).hexdigest()
+                    cols["ids_sha256"] = pa.array([sha(text[a : max(a, b - 1)]) for a, b in zip(ends, ends[1:])], pa.string())
+                    back = memoryview(back)
+                    cols["decoded_sha256"] = pa.array([sha(back[a:b]) for a, b in zip(cut, cut[1:])], pa.string())
                 yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
     schema = T.StructType([*(df.schema[c] for c in keep), *added])
