@@ -139,7 +139,9 @@ class Mix:
             fixed = fixed.unionByName(d)
         counts = running(fixed.groupBy("src", "shard").agg(F.sum("n").alias("n")), "src", "shard", "n", "k0")
         blocks = literal(spark, [(i, n) for i, n, _ in self.expected], "src int, blocks bigint")
-        slots = counts.where("n > 0").join(F.broadcast(blocks), "src").select("src", "blocks", F.explode(F.sequence(F.col("k0"), F.col("k0") + F.col("n") - 1)).alias("k"))
+        # few rows that grow by the slots of a shard each: dealt to all tasks before they do
+        counts = counts.where("n > 0").select("src", "shard", "n", "k0").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "src", "shard")
+        slots = counts.join(F.broadcast(blocks), "src").select("src", "blocks", F.explode(F.sequence(F.col("k0"), F.col("k0") + F.col("n") - 1)).alias("k"))
         slots = slots.where(F.col("k") < self.cap * F.col("blocks"))  # never a block more often than the cap
         turn = F.floor(F.col("k") / F.col("blocks"))
         index = permuted(F.pmod("k", "blocks"), F.col("blocks"), F.lit(self.seed), F.col("src"), turn)
