@@ -129,6 +129,8 @@ def _links(members: DataFrame, bound: float) -> DataFrame:
     dealt = members.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     dealt = dealt.withColumn("other", other).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "vec", "weight")
+    # a pair of blocks is much work in few bytes: dealt to all tasks, which adaptive execution would join by size
+    dealt = dealt.repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), "component", "i", "j")
 
     def count(frame: pd.DataFrame) -> pd.DataFrame:
         x = _unit(_matrix(frame["vec"], len(frame["vec"].iloc[0]) // 8))
