@@ -7,11 +7,11 @@ n-grams of all documents that the base rules pass: every task sums its own
 counts before the shuffle. Lower orders hold continuation counts, and the
 three discounts of each order come from its counts of counts.
 
-The model is a sorted array of hashes with the log probability and the log
-back-off weight of each n-gram, for each order. Hashes have ``BITS`` bits over
-all languages together, so an order has at most 2**BITS entries whatever the
-corpus: that bounds what is sent to the driver and broadcast (about 50 MB for
-all orders at 20 bits). N-grams that share a hash share their counts.
+The model is a table for each order in the shared folder, with one row for each
+distinct n-gram, however many there are, under a 64-bit hash. Nothing of it is
+gathered or broadcast: ``BLOCK`` rows of a file are a block, each block's
+distinct n-grams are joined with the model, and a block's documents meet only
+the probabilities of their own n-grams.
 
 Every document's perplexity is held against two bands of its language: the
 median of the language plus and minus ``WIDTH`` robust standard deviations, and
@@ -31,6 +31,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,7 +40,7 @@ from pyspark.sql.window import Window
 from .common import written
 from .textnp import SPACE, chunks, mix, prefix_hash, span_hash, spans, windows_hash
 
-ORDER, BITS, WIDTH, REPEAT = 4, 20, 6.0, 8
+ORDER, BLOCK, WIDTH, REPEAT = 4, 4096, 6.0, 8
 #: Log probability below the lowest order: one of the code points that Unicode has assigned.
 FLOOR = float(np.log(1 / 150_000))
 SYMBOL = np.zeros(256, bool)
@@ -101,11 +102,11 @@ PLACE = mix(np.arange(1, ORDER + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7
 
 
 def gram_keys(parts: list[np.ndarray], lang: np.ndarray) -> np.ndarray:
-    """Keys in BITS bits of n-grams given by their code points (first to last) and the hash of their language."""
+    """64-bit keys of n-grams given by their code points (first to last) and the hash of their language."""
     h = lang + np.uint64(len(parts))
     for distance, c in enumerate(reversed(parts)):
         h = h + c * PLACE[distance]
-    return (mix(h) >> np.uint64(64 - BITS)).astype(np.int64)
+    return mix(h).view(np.int64)
 
 
 def lang_hashes(langs: list) -> np.ndarray:
@@ -155,115 +156,132 @@ def _merge(hi: np.ndarray, lo: np.ndarray, counts: np.ndarray) -> tuple[np.ndarr
 
 
 def _counting(batches):
-    """Counts of n-grams of the highest order in a task: lang, p0 .. p3, count."""
+    """N-grams of the highest order by block: block, key, lang, p0 .. p3, count in documents that the base rules pass (0 in others only)."""
     kept: dict = {}
 
-    def merged(lang):
-        kept[lang] = [tuple(_merge(*(np.concatenate(x) for x in zip(*kept[lang]))))]
-        return kept[lang][0]
+    def merged(at):
+        kept[at] = [tuple(_merge(*(np.concatenate(x) for x in zip(*kept[at]))))]
+        return kept[at][0]
 
-    def out(lang):
-        hi, lo, counts = merged(lang)
+    def out(at):
+        hi, lo, counts = merged(at)
+        del kept[at]
         low, n = np.uint64((1 << 21) - 1), np.uint64(21)
-        cols = [hi >> n, hi & low, lo >> n, lo & low]
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(hi), pa.string()), *(pa.array(c.astype(np.int32)) for c in cols), pa.array(counts)], ["lang", *(f"p{i}" for i in range(ORDER)), "count"])
+        cols, (block, lang) = [hi >> n, hi & low, lo >> n, lo & low], at
+        key = gram_keys(cols, lang_hashes([lang]).repeat(len(hi)))
+        arrays = [pa.array(np.full(len(hi), block)), pa.array(key), pa.array([lang] * len(hi), pa.string()), *(pa.array(c.astype(np.int32)) for c in cols), pa.array(counts)]
+        return pa.RecordBatch.from_arrays(arrays, ["block", "key", "lang", *(f"p{i}" for i in range(ORDER)), "count"])
 
     for batch in batches:
-        langs = batch.column(1).to_pylist()
+        langs, blocks = batch.column(1).to_pylist(), batch.column(2).to_pylist()
         for i, data, offsets in chunks(batch.column(0)):
             bad = failed(base_counts(data, offsets))
             points, at = code_points(data, offsets)
             parts, doc = histories(points, at), np.repeat(np.arange(len(at) - 1), np.diff(at))
-            names = langs[i : i + len(offsets) - 1]
-            for lang in set(names):
-                rows = (np.array([x == lang for x in names]) & ~bad)[doc]
-                if rows.any():
-                    kept.setdefault(lang, []).append(_tally([p[rows] for p in parts]))
-                    if sum(len(x[0]) for x in kept[lang]) > 600_000 and len(merged(lang)[0]) > 300_000:
-                        yield out(lang)
-                        del kept[lang]
-    for lang in kept:
-        yield out(lang)
+            names = list(zip(blocks[i : i + len(offsets) - 1], langs[i : i + len(offsets) - 1]))
+            for name in set(names):
+                mine = np.array([x == name for x in names])
+                for chosen, counts in ((mine & ~bad, 1), (mine & bad, 0)):
+                    rows = chosen[doc]
+                    if rows.any():
+                        hi, lo, times = _tally([p[rows] for p in parts])
+                        kept.setdefault(name, []).append((hi, lo, times * counts))
+                if sum(len(x[0]) for x in kept.get(name, ())) > 600_000 and len(merged(name)[0]) > 300_000:
+                    yield out(name)  # a block may have more rows than one for an n-gram
+            for name in [x for x in kept if x[0] not in blocks[i:]]:
+                yield out(name)
+    for name in list(kept):
+        yield out(name)
 
 
 class Model:
-    """For each order a sorted hash array of n-grams with their log probabilities, and one of contexts with their log back-off weights."""
-
-    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], contexts: list[tuple[np.ndarray, np.ndarray]], floor: float):
-        self.grams, self.contexts, self.floor, self.index = grams, contexts, floor, None
-
-    def __getstate__(self):
-        return self.__dict__ | {"index": None}
-
-    def _find(self, kind: int, order: int, key: np.ndarray) -> np.ndarray:
-        """Places of keys in a sorted array, -1 where there is none; by an index over all hashes."""
-        if self.index is None:
-            self.index = []
-            for arrays in (self.grams, self.contexts):
-                self.index.append([])
-                for keys, _ in arrays:
-                    at = np.full(1 << BITS, -1, np.int32)
-                    at[keys] = np.arange(len(keys), dtype=np.int32)
-                    self.index[-1].append(at)
-        return self.index[kind][order - 1][key]
+    """The model as written tables: ``requests(block, key)`` of the documents, for each order ``grams(key, prob)`` and ``contexts(context, weight)``.
+
+    ``grams`` has all n-grams of the documents, also those that only documents have that it isn't trained on.
+    """
+
+    def __init__(self, requests: DataFrame, grams: list[DataFrame], contexts: list[DataFrame]):
+        self.requests, self.grams, self.contexts, self.arrays = requests, grams, contexts, None
 
     def nll(self, points: np.ndarray, offsets: np.ndarray, lang: np.ndarray) -> np.ndarray:
-        """Negative log probability of each code point."""
+        """Negative log probability of each code point of any text, on the driver: gathers the tables, so it is for small models only."""
+        if self.arrays is None:
+            read = lambda tables: [{k: v for k, v in zip(*(c.to_numpy() for c in t.toArrow().columns))} for t in tables]
+            self.arrays = read(self.grams), read(self.contexts)
+        grams, contexts = self.arrays
         parts, lang = histories(points, offsets), np.repeat(lang, np.diff(offsets))
-        out = np.full(len(points), self.floor)
-        todo, weight = np.arange(len(points)), np.zeros(len(points))
-        for order in range(ORDER, 0, -1):
-            at = self._find(0, order, gram_keys(parts[ORDER - order :], lang))
-            hit = at >= 0
-            out[todo[hit]] = self.grams[order - 1][1][at[hit]] + weight[hit]
-            miss = ~hit
-            todo, weight, lang, parts = todo[miss], weight[miss], lang[miss], [p[miss] for p in parts]
-            if not len(todo):
-                break
-            at = self._find(1, order, gram_keys(parts[ORDER - order : ORDER - 1], lang))
-            weight[at >= 0] += self.contexts[order - 1][1][at[at >= 0]]
-        out[todo] = self.floor + weight
+        keys = [gram_keys(parts[ORDER - n :], lang).tolist() for n in range(ORDER + 1)]
+        before = [None] + [gram_keys(parts[ORDER - n : ORDER - 1], lang).tolist() for n in range(1, ORDER + 1)]
+        out = np.zeros(len(points))
+        for i in range(len(points)):
+            for n in range(ORDER, 0, -1):
+                if keys[n][i] in grams[n - 1]:
+                    out[i] += np.log(grams[n - 1][keys[n][i]])
+                    break
+                out[i] += contexts[n - 1].get(before[n][i], 0.0)
+            else:
+                out[i] += FLOOR
         return -out
 
 
+def _found(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Places in the sorted unsigned ``keys`` of ``asked``, all of which are there."""
+    shift = np.uint64(64 - min(26, len(keys).bit_length() + 2))
+    first = np.searchsorted(keys >> shift, np.arange(1 << (64 - int(shift)), dtype=np.uint64)).astype(np.int32)
+    at = first[asked >> shift]
+    miss = np.flatnonzero(keys[at] != asked)
+    while len(miss):
+        at[miss] += 1
+        miss = miss[keys[at[miss]] != asked[miss]]
+    return at
+
+
+def _blocks(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__block``: up to BLOCK rows of one Parquet file, the same in every scan."""
+
+    def marked(df):
+        return df.withColumn("__block", F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / BLOCK)))
+
+    try:
+        return marked(docs)
+    except AnalysisException:  # not a scan of Parquet files
+        return marked(written(docs, "docs"))
+
+
 def train(docs: DataFrame) -> Model:
-    """Count the n-grams of ``docs(text, lang)`` and estimate the model."""
+    """Count the n-grams of ``docs(text, lang)``, or of what ``_blocks`` made of it, and estimate the model."""
+    docs = docs if "__block" in docs.columns else _blocks(docs)
     points = ", ".join(f"p{i} int" for i in range(ORDER))
-    counted = docs.select("text", "lang").mapInArrow(_counting, f"lang string, {points}, count long")
+    counted = docs.select("text", "lang", "__block").mapInArrow(_counting, f"block long, key long, lang string, {points}, count long")
+    counted = written(counted, "counted")
     p = [F.col(f"p{i}") for i in range(ORDER)]
-    top = written(counted.groupBy("lang", *p).agg(F.sum("count").alias("count")), "grams")
+    top = written(counted.groupBy("key", "lang", *p).agg(F.sum("count").alias("count")).drop("key"), "grams")
     orders = {ORDER: top}
     for n in range(ORDER - 1, 0, -1):  # continuation counts: distinct code points before the n-gram
         up = orders[n + 1]
         own = [f"p{i}" for i in range(ORDER - n, ORDER)]
-        orders[n] = up.groupBy("lang", *own).agg(F.count("*").alias("count"))
-    arrays, contexts, lower = [], [], None
+        orders[n] = written(up.groupBy("lang", *own).agg(F.count_if(F.col("count") > 0).alias("count")), "grams")
+    made, contexts = [], []
     for n in range(1, ORDER + 1):
-        grams = written(_hashed(orders[n], n).groupBy("key", "context", "lower").agg(F.sum("count").alias("count")), "hashed")
-        of = {r[0]: r[1] for r in grams.where("count <= 4").groupBy("count").agg(F.count("*")).collect()}
+        grams = written(_hashed(orders[n], n), "hashed")
+        of = {r[0]: r[1] for r in grams.where("count between 1 and 4").groupBy("count").agg(F.count("*")).collect()}
         n1, n2, n3, n4 = (of.get(i, 0) for i in (1, 2, 3, 4))
         y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
         d = [min(max(v, 0.05), i - 0.05) for i, v in ((1, 1 - 2 * y * n2 / n1 if n1 else 0.5), (2, 2 - 3 * y * n3 / n2 if n2 else 1.0), (3, 3 - 4 * y * n4 / n3 if n3 else 1.5))]
-        discount = F.when(F.col("count") == 1, d[0]).when(F.col("count") == 2, d[1]).otherwise(d[2])
-        totals = grams.groupBy("context").agg(F.sum("count").alias("total"), F.sum(discount).alias("off"))
-        rows = grams.join(totals, "context").groupBy("key").agg(
-            F.min("lower").alias("lower"), F.max((F.col("count") - discount) / F.col("total")).alias("own"), F.max(F.col("off") / F.col("total")).alias("rest"))
-        got = rows.toArrow()  # at most 2**BITS rows
-        keys = got["key"].to_numpy()
-        order = np.argsort(keys)
-        keys, own, rest, low = keys[order], got["own"].to_numpy()[order], got["rest"].to_numpy()[order], got["lower"].to_numpy()[order]
+        count = F.col("count")
+        discount = F.when(count == 1, d[0]).when(count == 2, d[1]).otherwise(d[2])
+        off = F.count_if(count == 1) * d[0] + F.count_if(count == 2) * d[1] + F.count_if(count > 2) * d[2]
+        totals = written(grams.where("count > 0").groupBy("context").agg(F.sum("count").alias("total"), off.alias("off")), "totals")
+        rows = grams.join(totals, "context", "left")
         if n == 1:
-            base = np.full(len(keys), np.exp(FLOOR))
+            rows = rows.withColumn("base", F.lit(float(np.exp(FLOOR))))
         else:
-            i = np.minimum(np.searchsorted(lower[0], low), len(lower[0]) - 1)
-            base = np.where(lower[0][i] == low, np.exp(lower[1][i]), np.exp(FLOOR)) if len(lower[0]) else np.full(len(keys), np.exp(FLOOR))
-        prob = np.log(np.maximum(own + rest * base, 1e-12))
-        back = totals.select("context", F.log(F.col("off") / F.col("total")).alias("weight")).toArrow()
-        by = np.argsort(k := back["context"].to_numpy())
-        arrays.append((keys, prob.astype(np.float32)))
-        contexts.append((k[by], back["weight"].to_numpy()[by].astype(np.float32)))
-        lower = (keys, prob)
-    return Model(arrays, contexts, FLOOR)
+            rows = rows.join(made[-1].select(F.col("key").alias("lower"), F.col("prob").alias("base")), "lower")
+        seen = F.when(count > 0, (count - discount) / F.col("total")).otherwise(0.0)
+        rest = F.coalesce(F.col("off") / F.col("total"), F.lit(1.0))  # a context that nothing is known of
+        made.append(written(rows.select("key", F.greatest(seen + rest * F.col("base"), F.lit(1e-12)).alias("prob")), "model"))
+        contexts.append(totals.select("context", F.log(F.col("off") / F.col("total")).alias("weight")))
+    return Model(counted.select("block", "key"), made, contexts)
 
 
 def _hashed(grams: DataFrame, n: int) -> DataFrame:
@@ -282,30 +300,33 @@ def _hashed(grams: DataFrame, n: int) -> DataFrame:
 
 
 def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """``keep`` with the base counts, base_failed, chars, nll (mean over code points) and nll2 (mean square)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """``keep`` with the base counts, base_failed, chars, nll (mean over code points) and nll2 (mean square) of ``docs``, the ``_blocks`` that ``model`` is trained on."""
     added = [*(T.StructField(c, T.LongType()) for c in BASE_COLUMNS), T.StructField("base_failed", T.BooleanType()), T.StructField("__lang", T.StringType()), *(T.StructField(c, T.DoubleType()) for c in ("__n", "__nll", "__nll2"))]
     new = {f.name for f in added}
     keep = [c for c in keep if c not in new]
 
-    def run(batches):
-        m = shared.value
-        for batch in batches:
-            langs = batch.column(len(keep) + 1)
-            names = langs.to_pylist()
-            for i, data, offsets in chunks(batch.column(len(keep)), 1 << 19):
-                c = base_counts(data, offsets)
-                n = len(offsets) - 1
-                points, at = code_points(data, offsets)
-                nll = m.nll(points, at, lang_hashes(names[i : i + n]))
-                size = np.diff(at)
-                sums = [np.diff(np.concatenate(([0.0], np.cumsum(v)))[at]) if n else v for v in (nll, nll * nll)]
-                mean = [np.round(s / np.maximum(size, 1), 9) for s in sums]
-                cols = [x.slice(i, n) for x in batch.columns[: len(keep)]] + [pa.array(c[k]) for k in BASE_COLUMNS] + [pa.array(failed(c)), langs.slice(i, n), pa.array(size.astype(float)), pa.array(mean[0]), pa.array(mean[1])]
-                yield pa.RecordBatch.from_arrays(cols, [*keep, *(f.name for f in added)])
-
-    source = docs.select(*[f"`{c}`" for c in keep], docs["text"].alias("__text"), docs["lang"].alias("__l"))
-    return source.mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), *added]))
+    def run(rows: pa.Table, table: pa.Table) -> pa.Table:
+        keys, probs = table["key"].to_numpy().view(np.uint64), table["prob"].to_numpy()
+        order = np.argsort(keys)
+        keys, losses = keys[order], -np.log(probs[order])
+        names, made = rows["__l"].to_pylist(), {f.name: [] for f in added}
+        for i, data, offsets in chunks(rows["__text"], 1 << 19):
+            c = base_counts(data, offsets)
+            n = len(offsets) - 1
+            points, at = code_points(data, offsets)
+            size = np.diff(at)
+            asked = gram_keys(histories(points, at), np.repeat(lang_hashes(names[i : i + n]), size)).view(np.uint64)
+            nll = losses[_found(keys, asked)] if len(asked) else np.zeros(0)
+            sums = [np.diff(np.concatenate(([0.0], np.cumsum(v)))[at]) for v in (nll, nll * nll)]
+            mean = [np.round(s / np.maximum(size, 1), 9) for s in sums]
+            for k, v in zip(made, [*(c[k] for k in BASE_COLUMNS), failed(c), names[i : i + n], size.astype(float), *mean]):
+                made[k].append(pa.array(v, pa.string()) if k == "__lang" else pa.array(v))
+        return pa.table([*(rows[f"__k{i}"] for i in range(len(keep))), *(pa.chunked_array(v) for v in made.values())], [*keep, *made])
+
+    named = [F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep)]
+    source = docs.select("__block", *named, docs["text"].alias("__text"), docs["lang"].alias("__l"))
+    asked = model.requests.join(model.grams[-1], "key").select(F.col("block").alias("__block"), "key", "prob")
+    return source.groupBy("__block").cogroup(asked.groupBy("__block")).applyInArrow(run, T.StructType([*(docs.schema[c] for c in keep), *added]))
 
 
 def bands(judged: DataFrame) -> DataFrame:
@@ -340,13 +361,15 @@ def _keyed(judged: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """``keep`` (default: all columns; added columns replace those of their name) with the base counts, base_failed,
     perplexity and kept."""
-    judged = written(_keyed(scored(docs, train(docs), docs.columns if keep is None else keep)), "judged")
+    blocks = _blocks(docs)
+    judged = written(_keyed(scored(blocks, train(blocks), docs.columns if keep is None else keep)), "judged")
     plain = [c for c in judged.columns if not c.startswith("__") and c not in ("kept", "perplexity")]
     return _held(judged).select(*[F.col(f"`{c}`") for c in plain], F.exp("__nll").alias("perplexity"), "kept")
 
 
 def filter_kept(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with its columns."""
-    packed = docs.select("text", "lang", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    judged = written(_keyed(scored(packed, train(docs), ["__row"])), "judged")
+    blocks = _blocks(docs)
+    packed = blocks.select("text", "lang", "__block", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    judged = written(_keyed(scored(packed, train(blocks), ["__row"])), "judged")
     return _held(judged).where("kept").select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])

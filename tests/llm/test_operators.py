@@ -274,6 +274,47 @@ def test_perplexity_model_is_a_distribution_and_finds_noise(spark):
     assert not kept[1000] and sum(kept.values()) >= 145
 
 
+def test_model_keeps_every_ngram(spark):
+    """Perplexities against a model in dictionaries, over so many distinct n-grams that a table of 2**20 hashes would mix some."""
+    rnd, order = random.Random(9), perplexity.ORDER
+    words = lambda k, first, n: " ".join("".join(chr(first + rnd.randrange(n)) for _ in range(4)) for _ in range(k))
+    rows = [(i, words(40, 0x4E00, 6000), "zh") for i in range(150)] + [(200 + i, words(30, 97, 20), None) for i in range(20)]
+    rows += [(300, words(10, 0x4E00, 6000), "zh"), (301, words(5, 0x6000, 4000) + "\U0001F600", None), (302, None, "zh"), (303, "", None)]
+    counts = [{} for _ in range(order + 1)]
+    padded = {i: "\0" * (order - 1) + (t or "") for i, t, _ in rows}
+    for i, t, lang in rows:
+        for k in range(len(t or "") if i < 300 else 0):
+            g = (lang, padded[i][k : k + order])
+            counts[order][g] = counts[order].get(g, 0) + 1
+    for n in range(order - 1, 0, -1):
+        for lang, g in counts[n + 1]:
+            counts[n][lang, g[1:]] = counts[n].get((lang, g[1:]), 0) + 1
+    total, off, discounts = [{} for _ in counts], [{} for _ in counts], [None]
+    for n in range(1, order + 1):
+        n1, n2, n3, n4 = (sum(c == k for c in counts[n].values()) for k in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+        raw = (1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5)
+        discounts.append([min(max(v, 0.05), i - 0.05) for i, v in enumerate(raw, 1)])
+        for (lang, g), c in counts[n].items():
+            h = lang, g[:-1]
+            total[n][h] = total[n].get(h, 0) + c
+            off[n][h] = off[n].get(h, 0) + discounts[n][min(c, 3) - 1]
+
+    def prob(lang, g):
+        if not g:
+            return np.exp(perplexity.FLOOR)
+        n, h, c = len(g), (lang, g[:-1]), counts[len(g)].get((lang, g), 0)
+        if h not in total[n]:
+            return prob(lang, g[1:])
+        return ((c - discounts[n][min(c, 3) - 1] if c else 0) + off[n][h] * prob(lang, g[1:])) / total[n][h]
+
+    got = {r.doc_id: r.perplexity for r in perplexity.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2), keep=["doc_id"]).collect()}
+    assert set(got) == {r[0] for r in rows} and len(counts[order]) > 25_000
+    for i, t, lang in rows:
+        want = np.exp(-np.mean([np.log(prob(lang, padded[i][k : k + order])) for k in range(len(t))])) if t else 1.0
+        assert abs(got[i] - want) <= 1e-6 * want, i
+
+
 def test_line_windows(docs, empty):
     out = {}
     seen, gone = set(), {}
