@@ -14,8 +14,8 @@ distinct n-grams are joined with the model, and a block's documents meet only
 the probabilities of their own n-grams.
 
 Every document's perplexity is held against two bands of its language: the
-median of the language plus and minus ``WIDTH`` robust standard deviations, and
-for short texts wider by the sampling error of their own length. Medians come
+median of the language plus ``UPPER`` and minus ``LOWER`` robust standard
+deviations, and for short texts wider by the sampling error of their own length. Medians come
 from histograms of all documents' log perplexities in steps of 0.001.
 
 Nulls and texts without words have zero counts and fail the base rule. A null
@@ -40,7 +40,9 @@ from pyspark.sql.window import Window
 from .common import written
 from .textnp import SPACE, chunks, mix, prefix_hash, span_hash, spans, windows_hash
 
-ORDER, BLOCK, WIDTH, REPEAT = 4, 4096, 6.0, 8
+ORDER, BLOCK, REPEAT = 4, 4096, 8
+#: Robust deviations above and below a language's median within which a text is kept; chosen on labelled rows of sf0.1 with even ids (README).
+UPPER, LOWER = 2.5, 2.0
 #: Log probability below the lowest order: one of the code points that Unicode has assigned.
 FLOOR = float(np.log(1 / 150_000))
 SYMBOL = np.zeros(256, bool)
@@ -349,8 +351,8 @@ def bands(judged: DataFrame) -> DataFrame:
 def _held(judged: DataFrame) -> DataFrame:
     """``judged`` (a written table) with ``kept``: the verdict of base rules and bands."""
     band = written(bands(judged), "bands")
-    room = WIDTH * F.sqrt(F.col("spread") * F.col("spread") + F.col("noise") * F.col("noise") / F.greatest(F.col("__n"), F.lit(1.0)))
-    inside = F.abs(F.col("__nll") - F.col("mid")) <= room
+    room = F.sqrt(F.col("spread") * F.col("spread") + F.col("noise") * F.col("noise") / F.greatest(F.col("__n"), F.lit(1.0)))
+    inside = (F.col("__nll") - F.col("mid")).between(-LOWER * room, UPPER * room)
     return judged.drop("kept").join(band, "__key", "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
 
 

@@ -315,6 +315,16 @@ def test_model_keeps_every_ngram(spark):
         assert abs(got[i] - want) <= 1e-6 * want, i
 
 
+def test_bands_reject_what_labels_call_junk(spark):
+    """Texts at moderate distance from the median, where junk lies, are rejected on either side; those nearer are kept."""
+    spread = 0.05 * 1.4826
+    far = {1000: 2.2, 1001: 2.8, 1002: -1.8, 1003: -2.3}
+    rows = [(i, "=en", 2 + 0.002 * (i - 50)) for i in range(101)] + [(i, "=en", 2 + w * spread) for i, w in far.items()]
+    judged = spark.createDataFrame([(i, k, v, v * v, 1000.0, False) for i, k, v in rows], "doc_id long, __key string, __nll double, __nll2 double, __n double, base_failed boolean")
+    kept = {r.doc_id: r.kept for r in perplexity._held(judged).collect()}
+    assert {i: kept[i] for i in far} == {1000: True, 1001: False, 1002: True, 1003: False} and all(kept[i] for i in range(101))
+
+
 def test_line_windows(docs, empty):
     out = {}
     seen, gone = set(), {}
