@@ -1,9 +1,9 @@
 """Operator 9: MinHash near-dedup by one-permutation hashing with optimal densification.
 
 A document's set of distinct five-word shingles (ASCII lower case) is hashed
-once; the hash's high bits name one of ``K`` bins, whose least value is kept.
+once; the hash's high bits name one of ``K`` (bands times ``ROWS``) bins, whose least value is kept.
 Empty bins are filled from full ones that a fixed hash of (bin, attempt)
-picks. ``BANDS`` bands of bins are bucket keys.
+picks. The bands of bins are bucket keys.
 
 Documents with the same set are one class first, so thousands of copies are
 one row from then on. In a bucket only star-shaped edges are candidates: from
@@ -16,7 +16,8 @@ what they have differently from the hub, of the full sets, allows a link (see
 component, which is what large groups of copies are, cost one edge a class.
 
 With 25 bands of 5 bins a pair at the threshold of 0.85 shares no bucket with
-probability 1e-6 and one at 0.9 with 1e-10.
+probability 1e-6 and one at 0.9 with 1e-10. Below 0.85 there are as many bands
+as miss a pair at the threshold with that probability: 35 at 0.8.
 
 Nulls and texts without words have the empty set and link with nothing; fewer
 than five words are one shingle. Rows with the same doc_id are the same node;
@@ -25,6 +26,9 @@ a null doc_id is a node of its own that links with nothing (component null).
 
 from __future__ import annotations
 
+import functools
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,7 +40,12 @@ from .textnp import LOWER, SPACE, chunks, mix, prefix_hash, span_hash, spans, wi
 
 WORDS = 5
 BANDS, ROWS = 25, 5
-K = BANDS * ROWS
+MISS = 1e-6
+
+
+def bands_for(percent: int) -> int:
+    """Bands of which a pair at the threshold shares none with probability MISS at most; BANDS at least."""
+    return max(BANDS, math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** ROWS)) if percent < 85 else BANDS)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -66,31 +75,35 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = WORDS) -> tu
     return hashes, np.searchsorted(docs, np.arange(n + 1))
 
 
-_donor = mix(np.arange(K, dtype=np.uint64)[None, :] * np.uint64(1 << 32) + np.arange(1, 4097, dtype=np.uint64)[:, None]) % np.uint64(K)
-_donor = _donor.astype(np.int64)
+@functools.cache
+def _donors(k: int) -> np.ndarray:
+    """For each attempt the bin among ``k`` that each bin is filled from."""
+    found = mix(np.arange(k, dtype=np.uint64)[None, :] * np.uint64(1 << 32) + np.arange(1, 4097, dtype=np.uint64)[:, None]) % np.uint64(k)
+    return found.astype(np.int64)
 
 
-def signatures(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """One-permutation signatures (documents x K) of non-empty sets, densified."""
-    n = len(offsets) - 1
+def signatures(hashes: np.ndarray, offsets: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    """One-permutation signatures (documents x bands * ROWS) of non-empty sets, densified."""
+    n, k_bins = len(offsets) - 1, bands * ROWS
+    donors = _donors(k_bins)
     doc = np.repeat(np.arange(n), np.diff(offsets))
-    bins = ((hashes >> np.uint64(32)) * np.uint64(K)) >> np.uint64(32)
-    key = doc * K + bins.astype(np.int64)
-    sig = np.full(n * K, np.uint64(2**64 - 1))
+    bins = ((hashes >> np.uint64(32)) * np.uint64(k_bins)) >> np.uint64(32)
+    key = doc * k_bins + bins.astype(np.int64)
+    sig = np.full(n * k_bins, np.uint64(2**64 - 1))
     order = np.argsort(key, kind="stable")
     if len(order):
         k = key[order]
         first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
         sig[k[first]] = np.minimum.reduceat(mix(hashes[order]), first)
-    sig = sig.reshape(n, K)
+    sig = sig.reshape(n, k_bins)
     full = sig != np.uint64(2**64 - 1)
     hole = ~full & full.any(1)[:, None]
     out = sig.copy()
-    for attempt in range(len(_donor)):
+    for attempt in range(len(donors)):
         r, c = np.nonzero(hole)
         if not len(r):
             return out
-        d = _donor[attempt][c]
+        d = donors[attempt][c]
         ok = full[r, d]
         out[r[ok], c[ok]] = sig[r[ok], d[ok]]
         hole[r[ok], c[ok]] = False
@@ -100,14 +113,15 @@ def signatures(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
-    """Bucket keys (documents x BANDS)."""
-    out = np.zeros((len(sig), BANDS), np.uint64)
+    """Bucket keys (documents x bands)."""
+    bands = sig.shape[1] // ROWS
+    out = np.zeros((len(sig), bands), np.uint64)
     for i in range(ROWS):
-        out = out * np.uint64(0xD1342543DE82EF95) + sig[:, i::ROWS][:, :BANDS]
-    return mix(out + np.arange(BANDS, dtype=np.uint64))
+        out = out * np.uint64(0xD1342543DE82EF95) + sig[:, i::ROWS][:, :bands]
+    return mix(out + np.arange(bands, dtype=np.uint64))
 
 
-def sets_of(docs: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, bands: int = BANDS) -> DataFrame:
     """(doc_id, n, s1, s2, keys): size and 128-bit digest of the set and its bucket keys."""
 
     def run(batches):
@@ -116,10 +130,10 @@ def sets_of(docs: DataFrame) -> DataFrame:
             for i, data, offsets in chunks(batch.column(1)):
                 hashes, at = shingle_sets(data, offsets)
                 n = np.diff(at)
-                keys = band_keys(signatures(hashes, at)).view(np.int64)
+                keys = band_keys(signatures(hashes, at, bands)).view(np.int64)
                 sums = [np.concatenate(([np.uint64(0)], np.cumsum(mix(hashes + np.uint64(k))))) for k in (1, 2)]
                 s1, s2 = (mix(s[at[1:]] - s[at[:-1]]).view(np.int64) for s in sums)
-                lists = pa.ListArray.from_arrays(pa.array((np.arange(len(n) + 1) * BANDS).astype(np.int32)), pa.array(keys.ravel()))
+                lists = pa.ListArray.from_arrays(pa.array((np.arange(len(n) + 1) * bands).astype(np.int32)), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([ids.slice(i, len(n)), pa.array(n), pa.array(s1), pa.array(s2), lists], ["doc_id", "n", "s1", "s2", "keys"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, keys array<long>")
@@ -211,7 +225,7 @@ def open_pairs(rest: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of ``docs(doc_id, text)``."""
-    found = written(sets_of(docs), "sets")
+    found = written(sets_of(docs, bands_for(percent)), "sets")
     full = found.where("n > 0 and doc_id is not null")
     # classes of equal sets: hub copies are combined before the shuffle
     classes = written(full.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")), "classes")

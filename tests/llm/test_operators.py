@@ -372,6 +372,27 @@ def test_minhash(docs, empty):
     assert rows_of(minhash.near_duplicates(empty)) == [] and rows_of(minhash.keep_first(empty)) == []
 
 
+def test_pipeline_drops_near_copies_at_80_percent(spark):
+    """The pipeline's stage against brute force on texts whose similarities lie around 0.8."""
+    import corpus_pipeline
+
+    rnd, rows = random.Random(11), []
+    for g in range(20):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(120)]
+        rows.append((10 * g, " ".join(base)))
+        for i in range(1, 4):  # k changed words at the end leave 116 - k of 116 + k shingles
+            k = rnd.randint(8, 17)
+            rows.append((10 * g + i, " ".join([*base[: 120 - k], *(f"x{rnd.randrange(10**6)}" for _ in range(k))])))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(116)} for i, t in rows}
+    ids = sorted(sets)
+    pairs = [(a, b, len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for k, a in enumerate(ids) for b in ids[k + 1 :]]
+    want = roots(ids, [(a, b) for a, b, j in pairs if j >= 0.8])
+    assert sum(0.8 <= j < 0.85 for *_, j in pairs) > 10 and sum(0.7 < j < 0.8 for *_, j in pairs) > 10
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in got.collect()) == [i for i in ids if want[i] == i]
+    assert (1 - 0.8**minhash.ROWS) ** minhash.bands_for(80) <= 1e-6 and minhash.bands_for(85) == minhash.BANDS == 25
+
+
 def test_densification_agrees_with_similarity():
     rng = np.random.default_rng(1)
     for n in (3, 20, 200, 2000):
