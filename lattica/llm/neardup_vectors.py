@@ -7,10 +7,14 @@ order, and keeps the pairs whose cosine, in double precision, reaches the
 bound. Within a sorted partition pairs are united at once, so a pass sends one
 edge a class at most; edges of all passes are united to components.
 
-How many passes there are follows the number of vectors: a pair at the bound
-agrees in each sign with probability 1 - arccos(bound)/pi, must agree in about
-log2(vectors of a label / WINDOW) signs to be neighbours, and is missed by all
-passes with probability ``MISS`` at most.
+Vectors are centred by their label first, as signs hardly split a label whose
+vectors point the same way. A pair at the bound agrees in each sign with
+probability 1 - arccos(c)/pi, c being its cosine about the label's centre if
+both have the mean distance from it, must agree in about log2(vectors of the
+label / WINDOW) signs to be neighbours, and is missed by all passes with
+probability ``MISS`` in this estimate; labels of uneven density can miss more.
+Where that takes so many passes that they would compare as many pairs as there
+are, all pairs of the label are compared instead, so those labels are exact.
 
 A window is bounded, a group of near copies isn't. So that every link in such a
 group is counted, the classes of a component are dealt into blocks of about
@@ -39,10 +43,13 @@ from .common import components, written
 WINDOW, BLOCK, MISS, BITS = 64, 512, 1e-5, 60
 
 
-def passes_for(rows: int, bound: float) -> int:
-    agree = 1 - math.acos(bound) / math.pi
+def passes_for(rows: int, bound: float, spread: float = 1.0) -> int:
+    """Passes for a label of so many classes with a mean squared distance ``spread`` of unit vectors from their centre; 0 to compare all pairs."""
+    near = 1 - (1 - bound) / max(spread, 1e-9)
+    agree = 1 - math.acos(max(near, 0.0)) / math.pi
     hit = agree ** max(1.0, math.log2(max(rows, 2) / WINDOW))
-    return max(8, math.ceil(math.log(MISS) / math.log(1 - hit)))
+    passes = max(8, math.ceil(math.log(MISS) / math.log(1 - hit)))
+    return 0 if near <= 0 or 2 * passes * WINDOW >= rows else passes
 
 
 def _unit(raw: np.ndarray) -> np.ndarray:
@@ -68,7 +75,65 @@ def _prepared(vectors: DataFrame) -> DataFrame:
         run, "vec_id long, label string, vec binary")
 
 
-def _passes(classes: DataFrame, passes: int, bound: float, partitions: int) -> DataFrame:
+def _centred(classes: DataFrame, bound: float) -> DataFrame:
+    """``classes`` with the centre of each label and dimension (of unit vectors), its number of classes and its passes."""
+
+    def sums(batches):
+        for batch in batches:
+            frame = batch.to_pandas()
+            for (label, dim), part in frame.groupby(["label", "dim"]):
+                x = _unit(_matrix(part["vec"], dim))
+                yield pa.RecordBatch.from_arrays([pa.array([label], pa.string()), pa.array([dim], pa.int32()), pa.array([len(x)]), pa.array([x.sum(0).tobytes()])], ["label", "dim", "size", "centre"])
+
+    def whole(frame: pd.DataFrame) -> pd.DataFrame:
+        dim, size = int(frame["dim"].iloc[0]), int(frame["size"].sum())
+        centre = _matrix(frame["centre"], dim).sum(0) / size
+        passes = passes_for(size, bound, 1 - float(centre @ centre))
+        return pd.DataFrame({"label": frame["label"].iloc[:1], "dim": [dim], "size": [size], "centre": [centre.tobytes()], "passes": [passes]})
+
+    sized = classes.withColumn("dim", (F.length("vec") / 8).cast("int"))
+    parts = sized.select("label", "dim", "vec").mapInArrow(sums, "label string, dim int, size long, centre binary")
+    centres = written(parts.groupBy("label", "dim").applyInPandas(whole, "label string, dim int, size long, centre binary, passes int"), "centres")
+    return sized.join(centres, ["label", "dim"])
+
+
+def _united(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``parent`` with the smallest place as root of all that pairs connect."""
+    while len(a):  # hook the larger root below the smaller one until all pairs have one root
+        pa_, pb = parent[a], parent[b]
+        on = pa_ != pb
+        if not on.any():
+            break
+        a, b, pa_, pb = a[on], b[on], pa_[on], pb[on]
+        np.minimum.at(parent, np.maximum(pa_, pb), np.minimum(pa_, pb))
+        while (parent != (up := parent[parent])).any():
+            parent = up
+    return parent
+
+
+def _all_pairs(classes: DataFrame, bound: float) -> DataFrame:
+    """Edges (a, b) that connect what is linked, from all pairs of each label's classes, by pairs of blocks."""
+    blocks = F.ceil(F.col("size") / F.lit(4 * BLOCK))
+    dealt = classes.select("label", "dim", "node", "vec", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("label", "dim", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "vec")
+    dealt = dealt.repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "label", "dim", "i", "j")
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        x, node = _unit(_matrix(frame["vec"], int(frame["dim"].iloc[0]))), frame["node"].to_numpy()
+        left = np.flatnonzero((frame["block"] == frame["i"]).to_numpy())
+        right = left if frame["i"].iloc[0] == frame["j"].iloc[0] else np.flatnonzero((frame["block"] != frame["i"]).to_numpy())
+        parent = np.arange(len(x))
+        for at in range(0, len(left), 256):
+            a, b = np.nonzero(_at_least(x[left[at : at + 256]], x[right], bound))
+            parent = _united(parent, left[at + a], right[b])
+        out = parent != np.arange(len(x))
+        return pd.DataFrame({"a": node[out], "b": node[parent[out]]})
+
+    return dealt.groupBy("label", "dim", "i", "j").applyInPandas(compare, "a long, b long")
+
+
+def _passes(classes: DataFrame, bound: float, partitions: int) -> DataFrame:
     """Edges (a, b) of verified pairs, united within each sorted partition."""
 
     def code(batches):
@@ -78,8 +143,10 @@ def _passes(classes: DataFrame, passes: int, bound: float, partitions: int) -> D
             dims = frame["vec"].map(len).to_numpy() // 8
             for dim in np.unique(dims):
                 part = frame[dims == dim]
-                x = _matrix(part["vec"], dim)
-                for p in range(passes):
+                whole, centred = part, _unit(_matrix(part["vec"], dim)) - _matrix(part["centre"], dim)
+                for p in range(int(whole["passes"].max())):
+                    on = (whole["passes"] > p).to_numpy()
+                    part, x = whole[on], centred[on]
                     if (p, dim) not in planes:
                         planes[p, dim] = np.random.default_rng([p, dim]).standard_normal((dim, BITS))
                     bits = x @ planes[p, dim] > 0
@@ -106,19 +173,11 @@ def _passes(classes: DataFrame, passes: int, bound: float, partitions: int) -> D
                     found_a.append(at[hit])
                     found_b.append(at[hit + lag])
             a, b = (np.concatenate(f) if f else np.zeros(0, int) for f in (found_a, found_b))
-            while len(a):  # hook the larger root below the smaller one until all pairs have one root
-                pa_, pb = parent[a], parent[b]
-                on = pa_ != pb
-                if not on.any():
-                    break
-                a, b, pa_, pb = a[on], b[on], pa_[on], pb[on]
-                np.minimum.at(parent, np.maximum(pa_, pb), np.minimum(pa_, pb))
-                while (parent != (up := parent[parent])).any():
-                    parent = up
+            parent = _united(parent, a, b)
             out = parent != np.arange(len(frame))
             yield pa.RecordBatch.from_arrays([pa.array(node[out]), pa.array(node[parent[out]])], ["a", "b"])
 
-    coded = classes.select("node", "label", "vec").mapInArrow(code, "pass int, label string, dim int, code long, node long, vec binary")
+    coded = classes.select("node", "label", "vec", "centre", "passes").mapInArrow(code, "pass int, label string, dim int, code long, node long, vec binary")
     order = ["pass", "label", "dim", "code", "node"]
     return coded.repartitionByRange(partitions, *order).sortWithinPartitions(*order).mapInArrow(compare, "a long, b long").distinct()
 
@@ -159,10 +218,11 @@ def near_vectors(vectors: DataFrame, bound: float = 0.93) -> DataFrame:
     # equal vectors are combined before the shuffle; the class is named by a number of its own as ids may be null or repeat
     classes = fine.groupBy("label", "vec").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    n = classes.count()
-    passes = passes_for(n, bound)
-    partitions = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * passes // 20_000))
-    edges = written(_passes(classes, passes, bound, partitions), "edges")
+    centred = written(_centred(classes, bound), "centred")
+    compared = centred.agg(F.sum("passes")).first()[0] or 0
+    partitions = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-compared // 20_000))
+    edges = _passes(centred.where("passes > 0"), bound, partitions).unionByName(_all_pairs(centred.where("passes = 0"), bound))
+    edges = written(edges, "edges")
     comp = written(components(edges), "components")
     members = classes.join(comp, "node").select("component", "node", "vec", "weight")
     links = written(_links(members, bound), "links")

@@ -195,6 +195,27 @@ def test_vectors(spark):
     assert rows_of(neardup_vectors.near_vectors(df.limit(0))) == []
 
 
+def test_vectors_that_point_the_same_way(spark):
+    """Planted pairs at the bound in a label of typical cosine 0.88, against all pairs."""
+    rng, dim = np.random.default_rng(5), 32
+    unit = lambda v: v / np.sqrt((v * v).sum(-1, keepdims=True))
+    x = unit(np.sqrt(0.88) * unit(rng.standard_normal(dim)) + np.sqrt(0.12) * unit(rng.standard_normal((3000, dim))))
+    step = rng.standard_normal((100, dim))
+    step -= (step * x[:100]).sum(1)[:, None] * x[:100]
+    y = 0.94 * x[:100] + np.sqrt(1 - 0.94**2) * unit(step)
+    x = np.concatenate((x, y))
+    cosines = x @ x.T
+    np.fill_diagonal(cosines, 0)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neardup_vectors.near_vectors(df).collect()}
+    a, b = np.nonzero(cosines >= 0.93)
+    want = roots(range(len(x)), list(zip(a.tolist(), b.tolist())))
+    links = (cosines >= 0.93).sum(1)
+    assert got == {i: (links[i], want[i]) for i in range(len(x))}
+    # a large label goes by passes, as many as its spread asks for
+    assert 0 < neardup_vectors.passes_for(10**6, 0.93) < neardup_vectors.passes_for(10**6, 0.93, 0.3)
+
+
 def test_zip_reader_against_library(tmp_path):
     blobs = {"a.txt": b"hello", warc_zip.DATA: bytes(range(256)) * 50, "d/é": b""}
     for kind in ("library", "plain", "zip64"):
