@@ -7,6 +7,10 @@ compacted (merged cells close up, finished rows leave). Pieces beyond
 ``FOLD`` bytes are matrices of their own: the row is folded into blocks whose
 least ranks are kept, so a round costs the square root of the length.
 
+A worker remembers the ids of pieces. They are found by a hash and compared
+byte by byte: two eight-byte lanes and the length tell pieces of up to 16 bytes
+apart, the bytes themselves longer ones.
+
 Nulls and empty texts give no ids. Repeated rows each give their row.
 """
 
@@ -14,16 +18,18 @@ from __future__ import annotations
 
 import base64
 import hashlib
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .textnp import chunks, prefix_hash, ranges, span_hash
+from .textnp import LANE, chunks, lanes_of, masked, mix, ranges, span_hash
 
 NONE = np.int32(2**31 - 1)
-#: Bytes from which a piece is folded into blocks.
-FOLD = 256
+#: Bytes from which a piece is folded into blocks, and cells of a matrix at most (one row at least).
+FOLD, AREA = 1024, 1 << 22
 #: Pieces a worker remembers; then it starts anew. Bounds memory only.
 REMEMBERED = 300_000
 
@@ -99,8 +105,9 @@ class Vocabulary:
             else:
                 buckets.setdefault(len(p).bit_length(), []).append(i)
         for members in buckets.values():
-            for at in range(0, len(members), 8192):
-                self._bucket(pieces, members[at : at + 8192], out)
+            rows = max(1, AREA >> max(9, len(pieces[members[0]]).bit_length()))
+            for at in range(0, len(members), rows):
+                self._bucket(pieces, members[at : at + rows], out)
         return out
 
     def _bucket(self, pieces: list[bytes], rows: list[int], out: list) -> None:
@@ -246,7 +253,7 @@ class Pieces:
 
 
 class Encoder:
-    """Encodes chunks of documents; remembers pieces (by hash and length) up to a bound."""
+    """Encodes chunks of documents; remembers pieces, with their bytes, up to a bound."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = v = vocabulary
@@ -254,60 +261,81 @@ class Encoder:
         self.digit_lengths = np.array([len(d) for d in digits])
         self.digit_starts = np.cumsum(self.digit_lengths) - self.digit_lengths
         self.digits = np.frombuffer("".join(digits).encode(), np.uint8)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.bits = 20
-        self.keys, self.where = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
-        self.starts, self.counts, self.ids, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), 0
-
-    def _look(self, h: np.ndarray) -> np.ndarray:
+        self._forget(20)
+
+    def _forget(self, bits: int) -> None:
+        self.bits, self.n = bits, 0
+        self.where = np.full(1 << bits, -1, np.int32)
+        # of each remembered piece: its lanes, length, place of its bytes (beyond 16) and of its ids
+        self.one, self.two, self.sizes, self.at = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.long = np.zeros(0, np.uint8)
+        self.starts, self.counts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def _same(self, known: np.ndarray, one: np.ndarray, two: np.ndarray, sizes: np.ndarray, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Which of the remembered pieces ``known`` have the bytes of the pieces at ``starts``."""
+        same = (self.one[known] == one) & (self.two[known] == two) & (self.sizes[known] == sizes)
+        far = np.flatnonzero(same & (sizes > 16))
+        if len(far):
+            size = sizes[far]
+            equal = self.long[ranges(self.at[known[far]], size)] == data[ranges(starts[far], size)]
+            same[far] = np.logical_and.reduceat(equal, np.cumsum(size) - size)
+        return same
+
+    def _look(self, h: np.ndarray, one: np.ndarray, two: np.ndarray, sizes: np.ndarray, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Numbers of remembered pieces, -1 where a piece is unknown."""
         out, todo = np.full(len(h), -1, np.int32), np.arange(len(h))
         slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
         while len(todo):
             at = self.where[slot]
-            hit = (at >= 0) & (self.keys[slot] == h[todo])
+            full = np.flatnonzero(at >= 0)
+            todo, slot, at = todo[full], slot[full], at[full]
+            hit = self._same(at, one[todo], two[todo], sizes[todo], data, starts[todo])
             out[todo[hit]] = at[hit]
-            on = ~hit & (at >= 0)
-            todo, slot = todo[on], (slot[on] + 1) & ((1 << self.bits) - 1)
+            todo, slot = todo[~hit], (slot[~hit] + 1) & ((1 << self.bits) - 1)
         return out
 
-    def _learn(self, h: np.ndarray, pieces: list[bytes]) -> None:
+    def _learn(self, h: np.ndarray, one: np.ndarray, two: np.ndarray, sizes: np.ndarray, pieces: list[bytes]) -> None:
         made = self.vocabulary.encode_pieces(pieces)
         counts = np.array([len(x) for x in made])
         self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(counts) - counts))
         self.counts, self.ids = np.concatenate((self.counts, counts)), np.concatenate((self.ids, *made))
+        kept = np.where(sizes > 16, sizes, 0)
+        self.at = np.concatenate((self.at, len(self.long) + np.cumsum(kept) - kept))
+        self.long = np.concatenate((self.long, np.frombuffer(b"".join(p for p in pieces if len(p) > 16), np.uint8)))
+        self.one, self.two, self.sizes = np.concatenate((self.one, one)), np.concatenate((self.two, two)), np.concatenate((self.sizes, sizes))
         slot, number = (h >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(self.n, self.n + len(h), dtype=np.int32)
         self.n += len(h)
-        while len(h):
+        while len(slot):
             free = np.flatnonzero(self.where[slot] < 0)
             _, first = np.unique(slot[free], return_index=True)
             put = free[first]
-            self.keys[slot[put]], self.where[slot[put]] = h[put], number[put]
-            rest = np.ones(len(h), bool)
+            self.where[slot[put]] = number[put]
+            rest = np.ones(len(slot), bool)
             rest[put] = False
-            h, number, slot = h[rest], number[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
+            number, slot = number[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
 
     def chunk(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the documents of a chunk, one after the other, and their offsets."""
         starts = self.vocabulary.pieces.cuts(data, offsets)
-        ends = np.append(starts[1:], len(data))
-        h = span_hash(prefix_hash(data), starts, ends)
+        sizes = np.append(starts[1:], len(data)) - starts
+        lanes = lanes_of(data)
+        one, two = masked(lanes[starts], sizes), masked(lanes[np.minimum(starts + 8, len(data))], sizes - 8)
+        h = mix(one * LANE ^ mix(two + sizes.astype(np.uint64)))
+        far = np.flatnonzero(sizes > 16)
+        h[far] = span_hash(data, starts[far], starts[far] + sizes[far])
         if self.n > REMEMBERED:
-            self._forget()
-        at = self._look(h)
-        miss = np.flatnonzero(at < 0)
-        if len(miss):
-            new, first = np.unique(h[miss], return_index=True)
-            raw, pick = data.tobytes(), miss[first]
-            while self.n + len(new) > 3 << (self.bits - 2):
-                self._forget()
-                self.bits = max(20, int(2 * len(np.unique(h))).bit_length())
-                self.keys, self.where = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
-                new, pick = np.unique(h, return_index=True)
-                miss = np.arange(len(h))
-            self._learn(new, [raw[a:b] for a, b in zip(starts[pick].tolist(), ends[pick].tolist())])
-            at[miss] = self._look(h[miss])
+            self._forget(20)
+        piece = h, one, two, sizes
+        at, raw = self._look(*piece, data, starts), data.tobytes()
+        while len(miss := np.flatnonzero(at < 0)):  # pieces of equal hash are learnt one after the other
+            _, first = np.unique(h[miss], return_index=True)
+            if self.n + len(first) > 3 << (self.bits - 2):
+                self._forget(max(20, int(2 * len(h)).bit_length()))
+                at[:] = -1
+                continue
+            pick = miss[first]
+            self._learn(*(x[pick] for x in piece), [raw[a : a + b] for a, b in zip(starts[pick].tolist(), sizes[pick].tolist())])
+            at[miss] = self._look(*(x[miss] for x in piece), data, starts[miss])
         counts = self.counts[at]
         ids = self.ids[ranges(self.starts[at], counts)]
         total = np.concatenate(([0], np.cumsum(counts)))
@@ -319,7 +347,14 @@ class Encoder:
         return self.digits[ranges(self.digit_starts[ids], n)], np.concatenate(([0], np.cumsum(n)))[offsets]
 
 
-_encoders: dict[int, Encoder] = {}
+#: The encoder of this worker and the vocabulary it is for.
+_encoder: list = [None, None]
+
+
+def encoder_of(v: Vocabulary) -> Encoder:
+    if _encoder[0] is not v:
+        _encoder[:] = v, Encoder(v)
+    return _encoder[1]
 
 
 def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: list[str] | None = None, ids: bool = True, digests: bool = False) -> DataFrame:
@@ -341,7 +376,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: list
 
     def run(batches):
         v = shared.value
-        encoder = _encoders.get(id(v)) or _encoders.setdefault(id(v), Encoder(v))
+        encoder = encoder_of(v)
         for batch in batches:
             for i, data, offsets in chunks(batch.column(len(keep))):
                 seq, at = encoder.chunk(data, offsets)
@@ -371,8 +406,15 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "token_ids", out: s
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
+        v = shared.value
         for batch in batches:
-            made = [None if x is None else shared.value.decode(np.array(x, np.int64)) for x in batch.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(made, pa.binary())], [*keep, out])
+            lists = batch.column(len(keep))
+            seq = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)  # the ids of all rows that are not null
+            ends = np.concatenate(([0], np.cumsum(v.lengths[seq])))
+            rows = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))))
+            at, null = pa.array(ends[rows].astype(np.int64)), pc.is_null(lists).to_numpy(zero_copy_only=False)
+            valid = pa.py_buffer(np.packbits(~null, bitorder="little").tobytes())
+            made = pa.Array.from_buffers(pa.large_binary(), len(lists), [valid, at.buffers()[1], pa.py_buffer(v.decode(seq))])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], made.cast(pa.binary())], [*keep, out])
 
     return df.select(*[f"`{c}`" for c in keep], df[ids].alias("__ids")).mapInArrow(run, T.StructType([*(df.schema[c] for c in keep), T.StructField(out, T.BinaryType())]))

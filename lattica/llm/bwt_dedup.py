@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import maybe_in, written
-from .textnp import chunks, mix, prefix_hash, ranges, span_hash
+from .textnp import chunks, mix, ranges, span_hash
 
 LENGTH, GRAM = 100, 16
 TEXT = 1 << 20
@@ -186,7 +186,7 @@ def _anchors(docs: DataFrame, only: bool) -> DataFrame:
                 if only:
                     yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64))], ["a"])
                     continue
-                s = span_hash(prefix_hash(data), begin, begin + size).view(np.int64)
+                s = span_hash(data, begin, begin + size).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[i:][doc]), pa.array(hashes[i:][doc]), pa.array((begin - offsets[doc]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(s)], PLACES)
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .textnp import LOWER, SPACE, chunks, mix, prefix_hash, span_hash, spans
+from .textnp import LOWER, SPACE, chunks, mix, span_hash, spans
 
 BUCKETS, SMOOTH = 1 << 17, 0.5
 #: Standard errors by which a bucket's target count must leave the raw model's expectation to tell anything.
@@ -45,7 +45,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         if not mark.any():
             break
         ends = ends - mark
-    words = span_hash(prefix_hash(data), starts, ends)
+    words = span_hash(data, starts, ends)
     pair = mix(words[:-1] * np.uint64(0xD1342543DE82EF95) + words[1:])
     same = doc[1:] == doc[:-1]
     keys = np.concatenate((words, pair[same]))

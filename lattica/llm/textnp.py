@@ -17,23 +17,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: Random values of bytes, an odd multiplier and its inverse modulo 2**64, for prefix hashes.
-BYTE = np.random.default_rng(20240607).integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
-BASE = 0x9E3779B97F4A7C15
-BASE_INV = pow(BASE, -1, 2**64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        have = np.full(size, np.uint64(base), np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        _powers[base] = have
-    return have[:n]
+#: Odd multipliers of lanes and of their places.
+LANE, PLACE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -78,15 +63,40 @@ def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Sums over prefixes of BYTE[b] * BASE**i; ``span_hash`` takes spans from them."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE[data] * powers(BASE, len(data)), out=out[1:])
-    return out
-
-
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return mix((prefix[ends] - prefix[starts]) * powers(BASE_INV, len(prefix))[starts] + (ends - starts).astype(np.uint64))
+def lanes_of(data: np.ndarray) -> np.ndarray:
+    """The eight bytes (little-endian) from each byte on; behind the end they are zero."""
+    return np.ndarray(len(data) + 1, "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+
+
+def masked(lanes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Each lane's first ``sizes`` bytes (none for sizes below 1, all from 8 on), the others zero."""
+    left = np.clip(sizes, 0, 8).astype(np.uint64)
+    shift = np.minimum(np.uint64(64) - (left << np.uint64(3)), np.uint64(63))
+    return np.where(left > 0, lanes & (np.uint64(2**64 - 1) >> shift), np.uint64(0))
+
+
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes.
+
+    Each lane of eight bytes is mixed with its place in the span by a bijection that is not linear; a span's hash is the
+    mixed sum of these with its length, so spans of one length up to eight bytes never collide. A polynomial modulo 2**64
+    would have equal values for whole families of texts.
+    """
+    size = ends - starts
+    count = (size + 7) >> 3
+    total = np.cumsum(count)
+    if not len(size) or not total[-1]:
+        return mix(size.astype(np.uint64) * LANE)
+    first = total - count
+    k = np.arange(total[-1]) - np.repeat(first, count)
+    value = lanes_of(data)[np.repeat(starts, count) + (k << 3)]
+    some = np.flatnonzero(count)
+    last = total[some] - 1
+    value[last] = masked(value[last], size[some] - ((count[some] - 1) << 3))
+    value = mix((value ^ (k.astype(np.uint64) * PLACE)) * LANE)
+    sums = np.zeros(len(size), np.uint64)
+    sums[some] = np.add.reduceat(value, first[some])
+    return mix(sums + size.astype(np.uint64) * LANE)
 
 
 def windows_hash(words: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
