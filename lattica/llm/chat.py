@@ -36,9 +36,9 @@ def escape_role(c: Column) -> Column:
 
 
 def unescape_role(c: Column) -> Column:
-    # a backslash pair is parked as U+0000 pair while \n is turned back
-    parked = F.replace(unescape(c), F.lit("\\\\"), F.lit("\x00\x00"))
-    return F.replace(F.replace(parked, F.lit("\\n"), F.lit("\n")), F.lit("\x00\x00"), F.lit("\\"))
+    # escaped backslashes are cut out from the left, so what is left of a run is the backslash of a newline
+    parts = F.split(unescape(c), r"\\\\", -1)
+    return F.array_join(F.transform(parts, lambda p: F.replace(p, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
 def examples(turns: DataFrame) -> DataFrame:
