@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,11 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the cluster names none (tests on one machine) a temporary folder is
-    made once and set for the session.
+    Where none is named a temporary folder is made once and set for the session, on one machine (master ``local``) only.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lattica-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -45,10 +48,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def drop_written(df: DataFrame) -> None:
     """Delete what ``written`` wrote; only for tables that nothing reads any more."""
-    spark, path = df.sparkSession, getattr(df, "_lattica_path", None)
-    if path:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path := getattr(df, "_lattica_path", None):
+        drop_path(df.sparkSession, path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder in the shared one."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__file`` and ``__at``, the Parquet file and the place in it of each row, the same in every scan; written first if it is no such scan."""
+
+    def marked(df):
+        return df.withColumns({"__file": F.col("_metadata.file_path"), "__at": F.col("_metadata.row_index")})
+
+    try:
+        return marked(docs)
+    except AnalysisException:
+        return marked(written(docs, "docs"))
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__row``, a number of each row that is the same in every scan (a small table numbers the files)."""
+    rows = placed(docs)
+    # names of files, which the driver holds as well: up to 2**31 of them with 2**32 rows each
+    files = written(rows.select("__file").distinct().coalesce(1).withColumn("__n", F.monotonically_increasing_id()), "files")
+    return rows.join(files, "__file").withColumn("__row", F.col("__n") * F.lit(1 << 32) + F.col("__at")).drop("__file", "__at", "__n")
 
 
 def hash128(*cols: Column) -> tuple[Column, Column]:

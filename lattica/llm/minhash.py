@@ -35,8 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import components, maybe_in, written
-from .textnp import LOWER, SPACE, chunks, mix, prefix_hash, span_hash, spans, windows_hash
+from .common import components, maybe_in, numbered, written
+from .textnp import LOWER, SPACE, chunks, mix, span_hash, spans, windows_hash
 
 WORDS = 5
 BANDS, ROWS = 25, 5
@@ -52,7 +52,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = WORDS) -> tu
     """Sorted distinct shingle hashes of each document of a chunk, one after the other, and their offsets."""
     data = LOWER[data]
     starts, ends, doc = spans(~SPACE[data], offsets)
-    words = span_hash(prefix_hash(data), starts, ends)
+    words = span_hash(data, starts, ends)
     n = len(offsets) - 1
     hashes, at = windows_hash(words, doc, size)
     docs = doc[at]
@@ -200,27 +200,39 @@ def differences(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def open_pairs(rest: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of ``rest(hub, node, size, c)`` with one hub and different components that may be linked; none that is linked is missing.
-
-    Two sets of together s shingles are linked if they differ in at most s * (1 - J) / (1 + J). Given what each has
-    differently from the hub, that many differences must be shared, at least one as a class outside of the hub's
-    component is that far from it. So of both lists of differences, rarest first, heads must meet (a prefix filter): in a
-    group of copies that were changed each in its own way they don't.
+    """Pairs (a, b) of ``rest(hub, node, size, hub_size, c, hub_c)`` with one hub and different components that may be linked; none that is linked is missing.
+
+    Two sets of together s shingles are linked if they differ in at most s * k, k = (1 - J) / (1 + J). With n being the
+    number of shingles that a set has differently from the hub and w = n - size * k, a pair must share at least
+    (w1 + w2) / 2 of those differences, at least one as a class outside of the hub's component is that far from it. So
+    of both lists of differences, rarest first, heads must meet (a prefix filter). Each list is cut to its head before
+    the join: of the one with the smaller w the head that any pair with a larger w leaves it, n - w + 1, which shingles
+    that most of a family has never reach; of the other what the smallest w in reach leaves it. So in a group of copies
+    that were changed each in its own way no keys meet, and a shingle of the whole family is no key at all.
     """
     diff = differences(rest, docs)
     often = diff.groupBy("hub", "shingle").agg(F.count("*").alias("often"))
     mine = Window.partitionBy("hub", "node")
     listed = diff.join(often.where("often > 1"), ["hub", "shingle"], "left").withColumn("often", F.coalesce("often", F.lit(1)))
     listed = listed.withColumns({"rank": F.row_number().over(mine.orderBy("often", "shingle")), "n": F.count("*").over(mine)}).where("often > 1")
-    listed = written(listed.join(rest, ["hub", "node"]).select("hub", "shingle", "node", "rank", "n", "size", "c"), "differences")
-    x, y = (listed.select("hub", "shingle", *[F.col(k).alias(k + s) for k in ("node", "rank", "n", "size", "c")]) for s in ("1", "2"))
-    both = F.col("size1") + F.col("size2")
-    far = (F.col("n1") + F.col("n2")) * F.lit(100 + percent) - both * F.lit(100 - percent)  # twice the shared ones needed, times 100 + percent
-    need = F.greatest(F.ceil(far / F.lit(2.0 * (100 + percent))), F.lit(1).cast("long"))
+    # w in units of 1 / (100 + percent), so that all is integer
+    own = rest.select("hub", "node", "size", "hub_size", "c", "hub_c")
+    listed = listed.join(own, ["hub", "node"]).withColumn("w", F.col("n") * (100 + percent) - F.col("size") * (100 - percent))
+    # a partner is in the hub's component, and then no nearer to it than by what both sizes differ, or outside and w above hub_size * k
+    least = F.when(F.col("c") == F.col("hub_c"), F.col("hub_size") * (100 - percent)).otherwise(-F.floor(F.col("size") * 100 / percent) * (100 - percent))
+    ceil = lambda x, unit: F.ceil(x / F.lit(float(unit)) - 1e-9)
+    listed = listed.withColumns({
+        "low": F.col("n") - F.greatest(ceil(F.col("w"), 100 + percent), F.lit(1).cast("long")) + 1,
+        "high": F.col("n") - F.greatest(ceil(F.col("w") + least, 2 * (100 + percent)), F.lit(1).cast("long")) + 1})
+    listed = written(listed.where(F.col("rank") <= F.greatest("low", "high")).select("hub", "shingle", "node", "rank", "n", "size", "c", "w", "low", "high"), "differences")
+    x = listed.where("rank <= low").select("hub", "shingle", *[F.col(k).alias(k + "1") for k in ("node", "rank", "n", "size", "c", "w")])
+    y = listed.where("rank <= high").select("hub", "shingle", *[F.col(k).alias(k + "2") for k in ("node", "rank", "n", "size", "c", "w")])
+    need = F.greatest(ceil(F.col("w1") + F.col("w2"), 2 * (100 + percent)), F.lit(1).cast("long"))
     close = F.least("size1", "size2") * 100 >= F.greatest("size1", "size2") * percent
     heads = (F.col("rank1") <= F.col("n1") - need + 1) & (F.col("rank2") <= F.col("n2") - need + 1)
-    met = x.join(y, ["hub", "shingle"]).where((F.col("node1") < F.col("node2")) & (F.col("c1") != F.col("c2")) & close & heads)
-    return met.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
+    ordered = (F.col("w1") < F.col("w2")) | ((F.col("w1") == F.col("w2")) & (F.col("node1") < F.col("node2")))
+    met = x.join(y, ["hub", "shingle"]).where(ordered & (F.col("c1") != F.col("c2")) & close & heads)
+    return met.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -248,7 +260,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     label = stars.join(comp.withColumnRenamed("node", "n_"), F.col("node") == F.col("n_"), "left").select(
         "band", "bucket", "hub", "node", "size", F.coalesce("component", "node").alias("c"))
     mixed = label.groupBy("band", "bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo < hi and m > 2")
-    rest = label.join(mixed.select("band", "bucket"), ["band", "bucket"]).where("node <> hub").select("hub", "node", "size", "c").distinct()
+    centre = label.where("node = hub").select("band", "bucket", F.col("size").alias("hub_size"), F.col("c").alias("hub_c"))
+    rest = label.join(mixed.select("band", "bucket"), ["band", "bucket"]).where("node <> hub").join(centre, ["band", "bucket"])
+    rest = rest.select("hub", "node", "size", "hub_size", "c", "hub_c").distinct()
     more = written(open_pairs(written(rest, "rest"), reps, percent).join(known.select("a", "b"), ["a", "b"], "left_anti"), "open")
     more = similarity(more, reps).where(F.col("inter") * 100 >= F.col("both") * percent).select("a", "b")
     more = written(more, "more")
@@ -262,9 +276,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 def keep_first(docs: DataFrame, percent: int = 85) -> DataFrame:
     """``docs`` with one document of each group of near copies, the one with the smallest id, and all that are in none.
 
-    Of rows that share that id and their text one stays. Rows with a null id stay.
+    Every row is a document of its own here, whatever its id: of rows with one id and unlike texts each is judged by its
+    text, of equal rows one stays, and a null id comes after all others.
     """
-    gone = near_duplicates(docs, percent).where("not kept").select("doc_id").distinct()
-    once = docs.withColumn("__h", F.xxhash64("text"))
-    once = once.where("doc_id is not null").dropDuplicates(["doc_id", "__h"]).unionByName(once.where("doc_id is null")).drop("__h")
-    return once.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = numbered(docs)
+    found = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), percent).select(F.col("doc_id").alias("__row"), "component_id")
+    group = found.join(rows.select("__row", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row").alias("place")), "__row")
+    group = written(group.select("__row", "component_id", "place"), "groups")
+    several = group.groupBy("component_id").agg(F.min("place").getField("__row").alias("first"), F.count("*").alias("m")).where("m > 1")
+    gone = group.join(several, "component_id").where("__row <> first").select("__row")
+    return rows.join(gone, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
