@@ -10,8 +10,11 @@ three discounts of each order come from its counts of counts.
 The model is a table for each order in the shared folder, with one row for each
 distinct n-gram, however many there are, under a 64-bit hash. Nothing of it is
 gathered or broadcast: ``BLOCK`` rows of a file are a block, each block's
-distinct n-grams are joined with the model, and a block's documents meet only
-the probabilities of their own n-grams.
+distinct n-grams are joined with the model, and what a block asks for is stored
+as sorted hash arrays, one file a block in the shared folder. Documents are
+scored where they are read, by binary search in the arrays of their block; no
+text is shuffled. An array file is written aside and renamed when it is whole,
+so a repeated attempt of a lost task changes nothing.
 
 Every document's perplexity is held against two bands of its language: the
 median of the language plus ``UPPER`` and minus ``LOWER`` robust standard
@@ -26,19 +29,20 @@ result.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.errors import AnalysisException
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import written
-from .textnp import SPACE, chunks, mix, prefix_hash, span_hash, spans, windows_hash
+from .common import drop_path, drop_written, new_path, placed, written
+from .textnp import LANE, SPACE, chunks, mix, span_hash, spans, windows_hash
 
 ORDER, BLOCK, REPEAT = 4, 4096, 8
 #: Robust deviations above and below a language's median within which a text is kept; chosen on labelled rows of sf0.1 with even ids (README).
@@ -60,7 +64,6 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     n = len(offsets) - 1
     word = ~SPACE[data]
     starts, ends, doc = spans(word, offsets)
-    prefix = prefix_hash(data)
     out = {
         "n_words": np.bincount(doc, minlength=n), "word_chars": per_doc(word & ((data & 0xC0) != 0x80), offsets), "n_symbols": per_doc(SYMBOL[data], offsets),
         "n_dup_lines": np.zeros(n, np.int64), "n_repeat_words": np.zeros(n, np.int64),
@@ -69,12 +72,12 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     some = np.concatenate(([0], np.cumsum(word)))
     has = some[line_ends] > some[lines]
     lines, line_ends, line_doc = lines[has], line_ends[has], line_doc[has]
-    hashes = span_hash(prefix, lines, line_ends)
+    hashes = span_hash(data, lines, line_ends)
     order = np.lexsort((hashes, line_doc))
     h, d = hashes[order], line_doc[order]
     again = d[1:][(h[1:] == h[:-1]) & (d[1:] == d[:-1])]
     out["n_dup_lines"] = np.bincount(again, minlength=n)
-    hashes, at = windows_hash(span_hash(prefix, starts, ends), doc, REPEAT)
+    hashes, at = windows_hash(span_hash(data, starts, ends), doc, REPEAT)
     order = np.lexsort((hashes, doc[at]))
     h, d = hashes[order], doc[at][order]
     same = (h[1:] == h[:-1]) & (d[1:] == d[:-1])
@@ -99,16 +102,13 @@ def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32), lead[offsets]
 
 
-#: Multipliers of code points by their distance from the end of an n-gram.
-PLACE = mix(np.arange(1, ORDER + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-
-
 def gram_keys(parts: list[np.ndarray], lang: np.ndarray) -> np.ndarray:
     """64-bit keys of n-grams given by their code points (first to last) and the hash of their language."""
     h = lang + np.uint64(len(parts))
-    for distance, c in enumerate(reversed(parts)):
-        h = h + c * PLACE[distance]
-    return mix(h).view(np.int64)
+    for at in range(0, len(parts), 2):  # two code points of 21 bits each make a lane
+        lane = parts[at] if at + 1 == len(parts) else (parts[at] << np.uint64(21)) | parts[at + 1]
+        h = mix(h ^ (lane * LANE))
+    return (mix(h) if not parts else h).view(np.int64)
 
 
 def lang_hashes(langs: list) -> np.ndarray:
@@ -202,8 +202,13 @@ class Model:
     ``grams`` has all n-grams of the documents, also those that only documents have that it isn't trained on.
     """
 
-    def __init__(self, requests: DataFrame, grams: list[DataFrame], contexts: list[DataFrame]):
-        self.requests, self.grams, self.contexts, self.arrays = requests, grams, contexts, None
+    def __init__(self, requests: DataFrame, grams: list[DataFrame], contexts: list[DataFrame], tables: list[DataFrame]):
+        self.requests, self.grams, self.contexts, self.tables, self.arrays = requests, grams, contexts, tables, None
+
+    def drop(self) -> None:
+        """Delete the written tables."""
+        for t in self.tables:
+            drop_written(t)
 
     def nll(self, points: np.ndarray, offsets: np.ndarray, lang: np.ndarray) -> np.ndarray:
         """Negative log probability of each code point of any text, on the driver: gathers the tables, so it is for small models only."""
@@ -227,7 +232,7 @@ class Model:
 
 
 def _found(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    """Places in the sorted unsigned ``keys`` of ``asked``, all of which are there."""
+    """Places in the sorted unsigned ``keys`` of ``asked``, all of which are there: binary search, its first steps by a table of leading bits."""
     shift = np.uint64(64 - min(26, len(keys).bit_length() + 2))
     first = np.searchsorted(keys >> shift, np.arange(1 << (64 - int(shift)), dtype=np.uint64)).astype(np.int32)
     at = first[asked >> shift]
@@ -240,14 +245,48 @@ def _found(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
 
 def _blocks(docs: DataFrame) -> DataFrame:
     """``docs`` with ``__block``: up to BLOCK rows of one Parquet file, the same in every scan."""
-
-    def marked(df):
-        return df.withColumn("__block", F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / BLOCK)))
-
-    try:
-        return marked(docs)
-    except AnalysisException:  # not a scan of Parquet files
-        return marked(written(docs, "docs"))
+    return placed(docs).withColumn("__block", F.xxhash64("__file", F.floor(F.col("__at") / BLOCK))).drop("__file", "__at")
+
+
+class Arrays:
+    """The probabilities that each block asks for: files of sorted hashes and losses under ``path``."""
+
+    def __init__(self, model: Model, path: str):
+        self.path = path
+        asked = model.requests.join(model.grams[-1], "key").select("block", "key", "prob")
+
+        def save(table: pa.Table) -> pa.Table:
+            return _save(path, table)
+
+        written(asked.groupBy("block").applyInArrow(save, "block long, n long"), "saved")
+
+    @staticmethod
+    def load(path: str, block: int) -> tuple[np.ndarray, np.ndarray]:
+        fs, base = pafs.FileSystem.from_uri(path)
+        name = f"{base}/{block & (2**64 - 1):016x}"
+        if fs.get_file_info(name).type == pafs.FileType.NotFound:  # a block without a code point asks for nothing
+            return np.zeros(0, np.uint64), np.zeros(0, np.float32)
+        with fs.open_input_file(name) as f:
+            raw = f.read()
+        n = len(raw) // 12
+        return np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, np.float32, n, 8 * n)
+
+
+def _save(path: str, table: pa.Table) -> pa.Table:
+    """Write the arrays of a block: its sorted keys, then their losses."""
+    fs, base = pafs.FileSystem.from_uri(path)
+    fs.create_dir(base, recursive=True)
+    keys, first = np.unique(table["key"].to_numpy().view(np.uint64), return_index=True)
+    block = table["block"][0].as_py()
+    name = f"{base}/{block & (2**64 - 1):016x}"
+    aside = f"{name}-{uuid.uuid4().hex}"
+    with fs.open_output_stream(aside) as out:
+        out.write(keys.tobytes() + (-np.log(table["prob"].to_numpy()[first])).astype(np.float32).tobytes())
+    if fs.get_file_info(name).type == pafs.FileType.NotFound:
+        fs.move(aside, name)
+    else:
+        fs.delete_file(aside)
+    return pa.table({"block": pa.array([block]), "n": pa.array([len(keys)])})
 
 
 def train(docs: DataFrame) -> Model:
@@ -256,6 +295,7 @@ def train(docs: DataFrame) -> Model:
     points = ", ".join(f"p{i} int" for i in range(ORDER))
     counted = docs.select("text", "lang", "__block").mapInArrow(_counting, f"block long, key long, lang string, {points}, count long")
     counted = written(counted, "counted")
+    tables = [counted]
     p = [F.col(f"p{i}") for i in range(ORDER)]
     top = written(counted.groupBy("key", "lang", *p).agg(F.sum("count").alias("count")).drop("key"), "grams")
     orders = {ORDER: top}
@@ -266,6 +306,7 @@ def train(docs: DataFrame) -> Model:
     made, contexts = [], []
     for n in range(1, ORDER + 1):
         grams = written(_hashed(orders[n], n), "hashed")
+        drop_written(orders[n])
         of = {r[0]: r[1] for r in grams.where("count between 1 and 4").groupBy("count").agg(F.count("*")).collect()}
         n1, n2, n3, n4 = (of.get(i, 0) for i in (1, 2, 3, 4))
         y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
@@ -283,7 +324,9 @@ def train(docs: DataFrame) -> Model:
         rest = F.coalesce(F.col("off") / F.col("total"), F.lit(1.0))  # a context that nothing is known of
         made.append(written(rows.select("key", F.greatest(seen + rest * F.col("base"), F.lit(1e-12)).alias("prob")), "model"))
         contexts.append(totals.select("context", F.log(F.col("off") / F.col("total")).alias("weight")))
-    return Model(counted.select("block", "key"), made, contexts)
+        drop_written(grams)
+        tables.append(totals)
+    return Model(counted.select("block", "key"), made, contexts, [*tables, *made])
 
 
 def _hashed(grams: DataFrame, n: int) -> DataFrame:
@@ -301,34 +344,46 @@ def _hashed(grams: DataFrame, n: int) -> DataFrame:
     return grams.select("lang", *[f"p{i}" for i in range(ORDER - n, ORDER)], "count").mapInArrow(run, "key long, context long, lower long, count long")
 
 
-def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """``keep`` with the base counts, base_failed, chars, nll (mean over code points) and nll2 (mean square) of ``docs``, the ``_blocks`` that ``model`` is trained on."""
+def scored(docs: DataFrame, path: str, keep: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
+    """``keep`` with the base counts, base_failed, chars, nll (mean over code points) and nll2 (mean square) of ``docs``, the ``_blocks`` that the ``Arrays`` under ``path`` are of."""
     added = [*(T.StructField(c, T.LongType()) for c in BASE_COLUMNS), T.StructField("base_failed", T.BooleanType()), T.StructField("__lang", T.StringType()), *(T.StructField(c, T.DoubleType()) for c in ("__n", "__nll", "__nll2"))]
     new = {f.name for f in added}
     keep = [c for c in keep if c not in new]
+    extra = [c for c in dict.fromkeys((text, lang)) if c not in keep]
+    place = [*keep, *extra].index(text), [*keep, *extra].index(lang)
 
-    def run(rows: pa.Table, table: pa.Table) -> pa.Table:
-        keys, probs = table["key"].to_numpy().view(np.uint64), table["prob"].to_numpy()
-        order = np.argsort(keys)
-        keys, losses = keys[order], -np.log(probs[order])
-        names, made = rows["__l"].to_pylist(), {f.name: [] for f in added}
-        for i, data, offsets in chunks(rows["__text"], 1 << 19):
-            c = base_counts(data, offsets)
-            n = len(offsets) - 1
-            points, at = code_points(data, offsets)
-            size = np.diff(at)
-            asked = gram_keys(histories(points, at), np.repeat(lang_hashes(names[i : i + n]), size)).view(np.uint64)
-            nll = losses[_found(keys, asked)] if len(asked) else np.zeros(0)
-            sums = [np.diff(np.concatenate(([0.0], np.cumsum(v)))[at]) for v in (nll, nll * nll)]
-            mean = [np.round(s / np.maximum(size, 1), 9) for s in sums]
-            for k, v in zip(made, [*(c[k] for k in BASE_COLUMNS), failed(c), names[i : i + n], size.astype(float), *mean]):
-                made[k].append(pa.array(v, pa.string()) if k == "__lang" else pa.array(v))
-        return pa.table([*(rows[f"__k{i}"] for i in range(len(keep))), *(pa.chunked_array(v) for v in made.values())], [*keep, *made])
-
-    named = [F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep)]
-    source = docs.select("__block", *named, docs["text"].alias("__text"), docs["lang"].alias("__l"))
-    asked = model.requests.join(model.grams[-1], "key").select(F.col("block").alias("__block"), "key", "prob")
-    return source.groupBy("__block").cogroup(asked.groupBy("__block")).applyInArrow(run, T.StructType([*(docs.schema[c] for c in keep), *added]))
+    def run(batches):
+        held = None
+        for batch in batches:
+            blocks, names = batch.column(batch.num_columns - 1).to_numpy(), batch.column(place[1]).to_pylist()
+            cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if held is None or held[0] != blocks[lo]:
+                    held = blocks[lo], *Arrays.load(path, int(blocks[lo]))
+                for i, data, offsets in chunks(batch.column(place[0]).slice(lo, hi - lo), 1 << 19):
+                    c, n = base_counts(data, offsets), len(offsets) - 1
+                    points, at = code_points(data, offsets)
+                    size, own = np.diff(at), names[lo + i : lo + i + n]
+                    asked = gram_keys(histories(points, at), np.repeat(lang_hashes(own), size)).view(np.uint64)
+                    nll = held[2][_found(held[1], asked)].astype(float) if len(asked) else np.zeros(0)
+                    sums = [np.diff(np.concatenate(([0.0], np.cumsum(v)))[at]) for v in (nll, nll * nll)]
+                    mean = [np.round(s / np.maximum(size, 1), 9) for s in sums]
+                    cols = [batch.column(k).slice(lo + i, n) for k in range(len(keep))]
+                    cols += [pa.array(c[k]) for k in BASE_COLUMNS] + [pa.array(failed(c)), pa.array(own, pa.string()), pa.array(size.astype(float)), *map(pa.array, mean)]
+                    yield pa.RecordBatch.from_arrays(cols, [*keep, *(f.name for f in added)])
+
+    source = docs.select(*[F.col(f"`{c}`") for c in [*keep, *extra]], "__block")
+    return source.mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), *added]))
+
+
+def _judged(blocks: DataFrame, docs: DataFrame, keep: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
+    """``scored`` of ``docs`` as a written table, by a model of ``blocks``, both of the same rows; tables on the way are deleted."""
+    model, path = train(blocks), new_path(docs.sparkSession, "arrays")
+    Arrays(model, path)
+    model.drop()
+    out = written(_keyed(scored(docs, path, keep, text, lang)), "judged")
+    drop_path(docs.sparkSession, path)
+    return out
 
 
 def bands(judged: DataFrame) -> DataFrame:
@@ -364,14 +419,15 @@ def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """``keep`` (default: all columns; added columns replace those of their name) with the base counts, base_failed,
     perplexity and kept."""
     blocks = _blocks(docs)
-    judged = written(_keyed(scored(blocks, train(blocks), docs.columns if keep is None else keep)), "judged")
+    judged = _judged(blocks, blocks, docs.columns if keep is None else keep)
     plain = [c for c in judged.columns if not c.startswith("__") and c not in ("kept", "perplexity")]
     return _held(judged).select(*[F.col(f"`{c}`") for c in plain], F.exp("__nll").alias("perplexity"), "kept")
 
 
 def filter_kept(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with its columns."""
-    blocks = _blocks(docs)
-    packed = blocks.select("text", "lang", "__block", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    judged = written(_keyed(scored(packed, train(blocks), ["__row"])), "judged")
-    return _held(judged).where("kept").select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
+    blocks, columns = _blocks(docs), docs.columns
+    own = {c: f"__c{i}" for i, c in enumerate(columns)}
+    renamed = blocks.select(*[F.col(f"`{c}`").alias(k) for c, k in own.items()], "__block")
+    judged = _judged(blocks, renamed, list(own.values()), own["text"], own["lang"])
+    return _held(judged).where("kept").select(*[F.col(k).alias(c) for c, k in own.items()])

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm import bpe, bwt_dedup, chat, classifier, line_windows, minhash, mixing, neardup_vectors, perplexity, queries, warc_zip
 from lattica.llm.common import components
-from lattica.llm.textnp import chunks
+from lattica.llm.textnp import SPACE, chunks, span_hash, spans
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, size int, n_tokens string, spans string, start string"
@@ -57,6 +57,10 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def thue_morse(n, letters="ab"):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
 def rows_of(df):
     return [tuple(r) for r in df.collect()]
 
@@ -110,6 +114,7 @@ def test_bpe_pieces_and_long_words():
     plain.pieces.fast = False
     letters = list("aab1 s  'tlrevd'' \n\t.é%😀 \x1c日")
     texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 40))) for _ in range(3000)]
+    texts += [t for n in (512, 1024, 2048, 4096, 8192) for t in (thue_morse(n), thue_morse(n, "ba"))]  # equal under any polynomial modulo 2**64
     texts += ["ab" * 3000, "".join(rnd.choice("etaoins") for _ in range(4000)), "a" * 300]
     for vocabulary in (v, plain):
         e, got = bpe.Encoder(vocabulary), []
@@ -119,6 +124,23 @@ def test_bpe_pieces_and_long_words():
         assert got == [library.encode_ordinary(t) for t in texts]
 
 
+def test_hashes_tell_thue_morse_words_apart():
+    words = [thue_morse(n, letters) for n in (512, 1024, 2048, 8192) for letters in ("ab", "ba")]
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    offsets = np.array([0, len(data)])
+    starts, ends, _ = spans(~SPACE[data], offsets)
+    assert len(set(span_hash(data, starts, ends).tolist())) == len(words)
+    a, b = thue_morse(1024), thue_morse(1024, "ba")
+    text = "\n".join([a, b, "one two three"]).encode()
+    counts = perplexity.base_counts(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert counts["n_dup_lines"].tolist() == [0]
+    pair = [f"{w} one two three four".encode() for w in (a, b)]
+    one, two = (minhash.shingle_sets(np.frombuffer(p, np.uint8), np.array([0, len(p)]))[0] for p in pair)
+    assert not set(one.tolist()) & set(two.tolist())
+    empty = span_hash(data, np.array([3, 3]), np.array([3, 4]))
+    assert empty[0] != empty[1] and len(span_hash(data, np.zeros(0, int), np.zeros(0, int))) == 0
+
+
 def test_mixing(docs, empty, spark):
     got = rows_of(mixing.Mix(docs, block=16).taken())
     assert sorted(map(repr, got)) == sorted(map(repr, rows_of(mixing.Mix(docs.repartition(5), block=16).taken())))
@@ -153,9 +175,9 @@ def test_permutation(spark):
 
 
 def test_chat(spark):
-    nasty = ["", None, "<|im_end|><|im_start|>assistant ok", "<\\|x", "a<\\\\|b\n", "plain\ntext", "<|", "\\n"]
+    nasty = ["", None, "<|x " * 20_000, "<|im_end|><|im_start|>assistant ok", "<\\|x", "a<\\\\|b\n", "plain\ntext", "<|", "\\n"]
     rnd = random.Random(4)
-    rows = [(c, t, rnd.choice(["user", "assistant", "system", None, "we\\ird\nrole<|"]), rnd.choice(nasty)) for c in [*range(30), None] for t in range(rnd.randint(1, 6))]
+    rows = [(c, t, rnd.choice(["user", "assistant", "system", None, "we\\ird\nrole<|", "\0\0\\n", "\\\n\\\\n"]), rnd.choice(nasty)) for c in [*range(30), None] for t in range(rnd.randint(1, 6))]
     rows += [rows[0], (0, None, "assistant", "late")]
     got = {r.conv_id: r for r in chat.read_back(chat.examples(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
     by = {}
@@ -393,6 +415,41 @@ def test_minhash(docs, empty):
     assert rows_of(minhash.near_duplicates(empty)) == [] and rows_of(minhash.keep_first(empty)) == []
 
 
+def test_first_of_each_group_is_kept_whatever_the_ids(spark):
+    rnd = random.Random(12)
+    text = lambda: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(60))
+    near = lambda t: " ".join([*t.split()[:-1], "other"])
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(1, a), (2, near(a)), (2, b), (None, c), (None, near(c)), (None, c), (5, near(c)), (7, d), (7, d), (8, None), (8, None), (None, "")]
+    got = minhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(1, a), (2, b), (5, near(c)), (7, d), (8, None), (8, None), (None, "")]))
+
+
+def test_template_family_makes_no_pairs(spark, monkeypatch):
+    """One text with nine words changed in each copy: buckets are shared by all, but the pairs that are looked at grow with the copies."""
+    rnd, seen = random.Random(13), []
+    base = [f"w{i}" for i in range(400)]
+    keep = minhash.written
+    monkeypatch.setattr(minhash, "written", lambda df, name: seen.append((name, out := keep(df, name))) or out)
+    for n in (150, 600):
+        rows = []
+        for i in range(n):
+            words = list(base)
+            for at in rnd.sample(range(400), 9):
+                words[at] = f"x{rnd.randrange(10**9)}"
+            rows.append((i, " ".join(words)))
+        rows += [(n, rows[7][1] + " and more"), (n + 1, " ".join([*rows[9][1].split()[:395], "other", "end"]))]
+        seen.clear()
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        sets = {i: frozenset(zip(*(t.split()[k:] for k in range(5)))) for i, t in rows}
+        edges = [(x, y) for x in sets for y in sets if x < y and 100 * len(sets[x] & sets[y]) >= 85 * len(sets[x] | sets[y])]
+        assert got == roots(sorted(sets), edges) and len(edges) >= 2
+        listed = next(df for name, df in seen if name == "differences")
+        met = listed.where("rank <= low").groupBy("hub", "shingle").count().join(listed.where("rank <= high").groupBy("hub", "shingle").agg(F.count("*").alias("m")), ["hub", "shingle"])
+        assert (met.agg(F.sum(F.col("count") * F.col("m"))).first()[0] or 0) <= 20 * n
+    monkeypatch.undo()
+
+
 def test_pipeline_drops_near_copies_at_80_percent(spark):
     """The pipeline's stage against brute force on texts whose similarities lie around 0.8."""
     import corpus_pipeline
