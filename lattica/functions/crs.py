@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: Radius of the sphere of 3857; axis, flattening, scale and false easting of UTM on WGS 84.
 RADIUS, AXIS, FLAT, SCALE, EASTING = 6378137.0, 6378137.0, 1 / 298.257223563, 0.9996, 500000.0
+#: Latitude to which 3857 is defined; what lies beyond is put there.
 MAX_LAT = 85.06
 
 _N = FLAT / (2 - FLAT)
@@ -27,6 +28,12 @@ class _Scalar:
     radians, degrees = math.radians, math.degrees
 
 
+def _mercator_lat(lat):
+    if isinstance(lat, Column):
+        return F.when(F.abs(lat) > MAX_LAT, F.signum(lat) * MAX_LAT).otherwise(lat)
+    return max(-MAX_LAT, min(MAX_LAT, lat))
+
+
 def _utm_zone(srid: int) -> tuple[float, float] | None:
     """Central meridian and false northing of EPSG 326zz and 327zz."""
     for base, north in ((32600, 0.0), (32700, 10_000_000.0)):
@@ -58,7 +65,7 @@ def _from_lonlat(m, srid: int, lon, lat):
     if srid == 4326:
         return lon, lat
     if srid == 3857:
-        return RADIUS * m.radians(lon), RADIUS * m.log(m.tan(math.pi / 4 + m.radians(lat) / 2))
+        return RADIUS * m.radians(lon), RADIUS * m.log(m.tan(math.pi / 4 + m.radians(_mercator_lat(lat)) / 2))
     if zone := _utm_zone(srid):
         phi, lam = m.radians(lat), m.radians(lon - zone[0])
         c = 2 * math.sqrt(_N) / (1 + _N)

@@ -3,7 +3,9 @@
 On one coordinate system every source cell knows which target cells it
 feeds, so nearest-neighbour is a map without a join or shuffle, and the
 weighted methods are one aggregation. Between coordinate systems target
-cells look up their source cell by an equi-join on its key.
+cells look up their source cell (or the four around their centre) by an
+equi-join on its key; the methods that sum up source cells move these forward
+instead, which again is one aggregation.
 """
 
 from __future__ import annotations
@@ -47,9 +49,12 @@ def bilinear(cells: DataFrame, source: Grid, target: Grid) -> DataFrame:
     return out.groupBy("band", F.col("c").alias("col_idx"), F.col("r").alias("row_idx")).agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("value"))
 
 
-def aggregate(cells: DataFrame, source: Grid, target: Grid, method: str) -> DataFrame:
-    """Over the source cells whose centres lie in the target cell; of the most frequent values the least."""
-    c, r = g.col_at(target, g.centre_x(source, F.col("col_idx"))), g.row_at(target, g.centre_y(source, F.col("row_idx")))
+def aggregate(cells: DataFrame, source: Grid, target: Grid, method: str, srids: tuple[int, int] | None = None) -> DataFrame:
+    """Over the source cells whose centres lie in the target cell; of the most frequent values the least. With ``srids`` centres are moved from the first to the second."""
+    x, y = g.centre_x(source, F.col("col_idx")), g.centre_y(source, F.col("row_idx"))
+    if srids:
+        x, y = crs.transform(x, y, *srids)
+    c, r = g.col_at(target, x), g.row_at(target, y)
     keyed = cells.where("value is not null").select("band", c.alias("col_idx"), r.alias("row_idx"), "value")
     keyed = keyed.where(F.col("col_idx").between(0, target.cols - 1) & F.col("row_idx").between(0, target.rows - 1))
     by = ["band", "col_idx", "row_idx"]
@@ -75,9 +80,9 @@ def grid_cells(df: DataFrame, grid: Grid, bounds: Bounds | None = None) -> DataF
     return df.sparkSession.range(w * (b.row_max - b.row_min + 1)).select((F.col("id") % w + b.col_min).alias("col_idx"), (F.floor(F.col("id") / w) + b.row_min).alias("row_idx"))
 
 
-def fill_region(cells: DataFrame, region: Grid | None, bands: tuple[int, ...]) -> DataFrame:
-    """Every cell of the region, null where there was none."""
-    every = grid_cells(cells, region).withColumn("band", F.explode(F.array(*[F.lit(b) for b in bands])))
+def fill_region(cells: DataFrame, region: Grid, bands: tuple[int, ...], bounds: Bounds | None = None) -> DataFrame:
+    """Every cell of the region, or of a window of it, null where there was none."""
+    every = grid_cells(cells, region, bounds).withColumn("band", F.explode(F.array(*[F.lit(b) for b in bands])))
     return every.join(cells, ["band", "col_idx", "row_idx"], "left").select("band", "col_idx", "row_idx", "value")
 
 
@@ -100,9 +105,19 @@ def reprojected_grid(grid: Grid, source: int, target: int) -> Grid:
     return Grid(e, cols, rows)
 
 
-def reproject(cells: DataFrame, source: Grid, source_srid: int, target: Grid, target_srid: int, bounds: Bounds | None = None) -> DataFrame:
-    """Nearest neighbour: each target centre is mapped back exactly and looks up its source cell."""
-    t = grid_cells(cells, target, bounds)
+def reproject(cells: DataFrame, source: Grid, source_srid: int, target: Grid, target_srid: int, bounds: Bounds | None = None, method: str = "nearest", targets: DataFrame | None = None) -> DataFrame:
+    """``targets``, if given, are the (col_idx, row_idx) that are asked for. Each target centre is mapped back exactly and looks up its source cell, or the weighted four around it; other methods sum up the cells whose centres are moved into a target cell."""
+    if method not in ("nearest", "bilinear"):
+        return aggregate(cells, source, target, method, (source_srid, target_srid))
+    t = grid_cells(cells, target, bounds) if targets is None else targets
     x, y = crs.transform(g.centre_x(target, F.col("col_idx")), g.centre_y(target, F.col("row_idx")), target_srid, source_srid)
-    t = t.select(F.col("col_idx").alias("c"), F.col("row_idx").alias("r"), g.col_at(source, x).alias("col_idx"), g.row_at(source, y).alias("row_idx"))
-    return t.join(cells, ["col_idx", "row_idx"]).select("band", F.col("c").alias("col_idx"), F.col("r").alias("row_idx"), "value")
+    key = [F.col("col_idx").alias("c"), F.col("row_idx").alias("r")]
+    if method == "nearest":
+        t = t.select(*key, g.col_at(source, x).alias("col_idx"), g.row_at(source, y).alias("row_idx"))
+        return t.join(cells, ["col_idx", "row_idx"]).select("band", F.col("c").alias("col_idx"), F.col("r").alias("row_idx"), "value")
+    t = t.select(*key, ((x - source.extent.xmin) / source.cw - 0.5).alias("u"), ((source.extent.ymax - y) / source.ch - 0.5).alias("v"))
+    near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
+    t = t.withColumn("n", near).select("c", "r", "u", "v", (F.floor("u") + F.col("n.i")).alias("col_idx"), (F.floor("v") + F.col("n.j")).alias("row_idx"))
+    t = t.withColumn("w", (1 - F.abs(F.col("u") - F.col("col_idx"))) * (1 - F.abs(F.col("v") - F.col("row_idx")))).where("w > 0")
+    met = t.join(cells.where("value is not null"), ["col_idx", "row_idx"])
+    return met.groupBy("band", F.col("c").alias("col_idx"), F.col("r").alias("row_idx")).agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("value"))

@@ -30,10 +30,10 @@ SIDE = 8
 
 @dataclass(frozen=True)
 class RasterView:
-    """A lazy raster. ``tiles(bands, trow)`` gives its tile table, tile rows and bands already pruned where the source can."""
+    """A lazy raster. ``tiles(bands, keys)`` gives its tile table, bands and tile keys (bounds, or None for all) already pruned where the source can."""
 
     name: str
-    tiles: Callable[[tuple[int, ...], tuple[int, int] | None], DataFrame]
+    tiles: Callable[[tuple[int, ...], Bounds | None], DataFrame]
     grid: Grid
     srid: int = 3857
     bands: int = 1
@@ -41,6 +41,7 @@ class RasterView:
     nodata: float | None = None
     tags: dict = field(default_factory=dict)
     band_tags: tuple = ()
+    domains: dict = field(default_factory=dict)
     overviews: tuple[Grid, ...] = ()
     overview_tiles: tuple[Callable, ...] = ()
     target: Grid | None = None
@@ -61,7 +62,7 @@ class RasterView:
 
     def metadata(self) -> dict:
         grid = self.grid_extent
-        return {"name": self.name, "srid": self.crs, "band_count": self.bands, "cell_type": self.target_type or self.cell_type, "nodata": self.nodata,
+        return {"name": self.name, "srid": self.crs, "method": self.method, "band_count": self.bands, "cell_type": self.target_type or self.cell_type, "nodata": self.nodata,
                 "cols": grid.cols, "rows": grid.rows, "size": grid.cols * grid.rows, "bounds": grid.bounds, "cw": grid.cw, "ch": grid.ch, "extent": grid.extent, "dataset": "source" if self.target is None else "warped"}
 
     def resolutions(self) -> list[Grid]:
@@ -74,6 +75,10 @@ class RasterView:
         """Tags of the source, or of a band; none for a band that isn't there."""
         return self.tags if band is None else (self.band_tags[band] if 0 <= band < len(self.band_tags) else {})
 
+    def domain_metadata(self, *domains: str) -> dict[str, dict[str, str]]:
+        """Entries of the named metadata domains ("" is the default one); of all that there are if none is named. Absent ones are left out."""
+        return {d: self.domains[d] for d in (domains or self.domains) if d in self.domains}
+
     # -- transforms ------------------------------------------------------------
 
     def convert(self, cell_type: str) -> RasterView:
@@ -125,11 +130,12 @@ class RasterView:
         if b is None:
             return explode_tiles(tiles(bands, None)).where("false")
         whole = b == grid.bounds
-        df = tiles(bands, None if whole else (b.row_min // SIDE, b.row_max // SIDE))
-        if not whole:
-            df = df.where(F.col("tcol").between(b.col_min // SIDE, b.col_max // SIDE) & F.col("trow").between(b.row_min // SIDE, b.row_max // SIDE))
-        cells = explode_tiles(df)
-        return cells if whole else in_bounds(cells, b)
+        keys = None if whole else Bounds(b.col_min // SIDE, b.row_min // SIDE, b.col_max // SIDE, b.row_max // SIDE)
+        df = tiles(bands, keys)
+        if keys is not None:
+            df = df.where(F.col("tcol").between(keys.col_min, keys.col_max) & F.col("trow").between(keys.row_min, keys.row_max))
+        # tiles at the right and lower edge hold cells beyond the grid
+        return explode_tiles(df) if whole and not (grid.cols % SIDE or grid.rows % SIDE) else in_bounds(explode_tiles(df), b)
 
     def cells(self, bounds: Bounds | None = None, bands: tuple[int, ...] | None = None) -> DataFrame:
         """(band, col_idx, row_idx, value) of a window of the view's own grid; null is NoData."""
@@ -139,24 +145,31 @@ class RasterView:
             if self.nodata is not None:
                 out = convert.nodata(out, self.nodata)
         else:
-            grid, tiles = self.grid, self.tiles
-            if self.srid == self.crs and self.overviews:
-                level = overview_level([self.grid, *self.overviews], self.target.cw)
-                if level:
-                    grid, tiles = self.overviews[level - 1], self.overview_tiles[level - 1]
+            grid, tiles = self._level()
             source = self._source_cells(self._source_bounds(bounds, grid), bands, tiles, grid)
-            if self.nodata is not None:
-                source = convert.nodata(source, self.nodata)
-            if self.srid == self.crs:
-                out = resample.resample(source, grid, self.target, self.method)
-            else:
-                out = resample.reproject(source, grid, self.srid, self.target, self.crs, bounds)
-            if bounds is not None:
-                out = in_bounds(out, bounds)
+            out = self._moved(source, grid, bounds)
             if self.exact_region:
-                out = resample.fill_region(out, self.target if bounds is None else None, bands) if bounds is None else out
+                out = resample.fill_region(out, self.target, bands, bounds)
         return convert.convert(out, self.target_type) if self.target_type else out
 
+    def _level(self) -> tuple[Grid, Callable]:
+        """Grid and tiles of the overview that the target's cells call for, brought back to the source's SRID first."""
+        if self.overviews:
+            cw = self.target.cw if self.srid == self.crs else resample.reprojected_grid(self.target, self.crs, self.srid).cw
+            if level := overview_level([self.grid, *self.overviews], cw):
+                return self.overviews[level - 1], self.overview_tiles[level - 1]
+        return self.grid, self.tiles
+
+    def _moved(self, source: DataFrame, grid: Grid, bounds: Bounds | None, targets: DataFrame | None = None) -> DataFrame:
+        """Source cells on the target grid, by the view's method."""
+        if self.nodata is not None:
+            source = convert.nodata(source, self.nodata)
+        if self.srid == self.crs:
+            out = resample.resample(source, grid, self.target, self.method)
+        else:
+            out = resample.reproject(source, grid, self.srid, self.target, self.crs, bounds, self.method, targets)
+        return out if bounds is None else in_bounds(out, bounds)
+
     def _source_bounds(self, bounds: Bounds | None, grid: Grid) -> Bounds | None:
         """Source window of a target window, one cell wider on every side."""
         if bounds is None:
@@ -167,6 +180,20 @@ class RasterView:
         b = grid.bounds_for(extent)
         return Bounds(b.col_min - 1, b.row_min - 1, b.col_max + 1, b.row_max + 1)
 
+    def _source_keys(self, windows: DataFrame, grid: Grid) -> DataFrame:
+        """(tcol, trow): the source tiles that any of a table of target windows reaches, one cell wider on every side."""
+        e = g.bounds_to_extent(self.target, *(F.col(c) for c in ("col_min", "row_min", "col_max", "row_max")))
+        steps = F.transform(F.sequence(F.lit(0), F.lit(16)), lambda i: i / 16)
+        edge = windows.select(*[c.alias(k) for k, c in e.items()], F.explode(steps).alias("t"))
+        x, y = (F.col(f"{a}min") + F.col("t") * (F.col(f"{a}max") - F.col(f"{a}min")) for a in "xy")
+        sides = F.array(*[F.struct(a.alias("x"), b.alias("y")) for a, b in ((x, F.col("ymin")), (x, F.col("ymax")), (F.col("xmin"), y), (F.col("xmax"), y))])
+        moved = F.transform(sides, lambda s: F.struct(*[c.alias(k) for c, k in zip(crs.transform(s["x"], s["y"], self.crs, self.srid), "xy")]))
+        edge = edge.withColumn("p", F.explode(moved)).groupBy("xmin", "ymin", "xmax", "ymax").agg(F.min("p.x").alias("x0"), F.min("p.y").alias("y0"), F.max("p.x").alias("x1"), F.max("p.y").alias("y1"))
+        ends = {"c": (g.col_at(grid, F.col("x0")) - 1, g.col_at(grid, F.col("x1")) + 1, grid.cols), "r": (g.row_at(grid, F.col("y1")) - 1, g.row_at(grid, F.col("y0")) + 1, grid.rows)}
+        key = lambda c, n: F.floor(F.greatest(F.lit(0), F.least(c, F.lit(n - 1))) / SIDE)
+        spans = edge.select(*[key(c, n).alias(k + end) for k, (low, high, n) in ends.items() for c, end in ((low, "0"), (high, "1"))])
+        return spans.select(F.explode(F.sequence("c0", "c1")).alias("tcol"), "r0", "r1").select("tcol", F.explode(F.sequence("r0", "r1")).alias("trow")).distinct()
+
     def read(self, extent: Extent | None = None, bounds: Bounds | None = None, bands: tuple[int, ...] | None = None, on_error: str = "null") -> DataFrame:
         """Cells of a window. A window that misses the grid gives no row; with ``on_error="strict"`` it raises, with "capture" it is a row with ``_error``."""
 
@@ -189,16 +216,24 @@ class RasterView:
         b = g.intersect(grid, {c: F.col(c) for c in ("col_min", "row_min", "col_max", "row_max")})
         w = windows.select("window_id", *[v.alias(k) for k, v in b.items()]).where("col_min <= col_max and row_min <= row_max")
         bands = tuple(range(self.bands)) if bands is None else tuple(bands)
-        if self.target is None and self.target_type is None and self.nodata is None:
-            keyed = w.withColumn("tcol", F.explode(F.sequence(F.floor(F.col("col_min") / SIDE), F.floor(F.col("col_max") / SIDE)))).withColumn(
-                "trow", F.explode(F.sequence(F.floor(F.col("row_min") / SIDE), F.floor(F.col("row_max") / SIDE))))
-            cells = explode_tiles(self.tiles(bands, None).join(keyed, ["tcol", "trow"]), "window_id", "col_min", "row_min", "col_max", "row_max")
-        else:
-            cells = self.cells(None, bands).withColumns({"tcol": F.floor(F.col("col_idx") / SIDE), "trow": F.floor(F.col("row_idx") / SIDE)})
-            keyed = w.withColumn("tcol", F.explode(F.sequence(F.floor(F.col("col_min") / SIDE), F.floor(F.col("col_max") / SIDE)))).withColumn(
-                "trow", F.explode(F.sequence(F.floor(F.col("row_min") / SIDE), F.floor(F.col("row_max") / SIDE))))
-            cells = cells.join(keyed, ["tcol", "trow"])
-        return cells.where("col_idx between col_min and col_max and row_idx between row_min and row_max").select("window_id", "band", "col_idx", "row_idx", "value")
+        span = lambda axis: F.explode(F.sequence(F.floor(F.col(f"{axis}_min") / SIDE), F.floor(F.col(f"{axis}_max") / SIDE)))
+        keyed = w.withColumn("tcol", span("col")).withColumn("trow", span("row"))
+        own = ("window_id", "col_min", "row_min", "col_max", "row_max")
+        if self.target is None:
+            cells = explode_tiles(self.tiles(bands, None).join(keyed, ["tcol", "trow"]), *own)
+            cells = cells if self.nodata is None else convert.nodata(cells, self.nodata)
+        else:  # tiles that no window reaches are left out below the transform
+            source, tiles = self._level()
+            reached = tiles(bands, None).join(self._source_keys(w, source), ["tcol", "trow"], "left_semi")
+            inside = F.explode(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1))).alias("at")
+            asked = keyed.select("tcol", "trow").distinct().select("tcol", "trow", inside).select((F.col("tcol") * SIDE + F.col("at") % SIDE).alias("col_idx"), (F.col("trow") * SIDE + F.floor(F.col("at") / SIDE)).alias("row_idx"))
+            cells = self._moved(in_bounds(explode_tiles(reached), source.bounds), source, None, asked)
+            cells = cells.withColumns({"tcol": F.floor(F.col("col_idx") / SIDE), "trow": F.floor(F.col("row_idx") / SIDE)}).join(keyed, ["tcol", "trow"])
+            if self.exact_region:
+                every = w.select("*", F.explode(F.array(*map(F.lit, bands))).alias("band"), F.explode(F.sequence("col_min", "col_max")).alias("col_idx")).withColumn("row_idx", F.explode(F.sequence("row_min", "row_max")))
+                cells = every.join(cells.select("window_id", "band", "col_idx", "row_idx", "value"), ["window_id", "band", "col_idx", "row_idx"], "left")
+        cells = cells.where("col_idx between col_min and col_max and row_idx between row_min and row_max").select("window_id", "band", "col_idx", "row_idx", "value")
+        return convert.convert(cells, self.target_type) if self.target_type else cells
 
 
 @dataclass(frozen=True)
@@ -212,13 +247,13 @@ class MosaicView:
 
     @classmethod
     def of(cls, views: list[RasterView], srid: int, grid: Grid | None = None, name: str = "") -> MosaicView:
-        """Sources are brought to the target's SRID and grid (by default the finest cell size over all of them)."""
+        """Sources are brought to the target's SRID and grid (by default the finest cell size over all of them), each by its own method."""
         if not views:
             raise GridError("a mosaic of nothing")
         if grid is None:
             grids = [v.grid_extent if v.crs == srid else resample.reprojected_grid(v.grid_extent, v.crs, srid) for v in views]
             grid = mosaic.combined_grid(grids)
-        return cls(tuple(v.reproject_to_grid(srid, grid) if (v.crs != srid or not aligned(v.grid_extent, grid)) else v for v in views), srid, grid, name)
+        return cls(tuple(v.reproject_to_grid(srid, grid, v.method) if (v.crs != srid or not aligned(v.grid_extent, grid)) else v for v in views), srid, grid, name)
 
     @classmethod
     def unsafe(cls, views: list[RasterView], srid: int = 3857, grid: Grid | None = None) -> MosaicView:

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
+import numpy as np
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import crs, geometry as geo, grid as g, wkb
 from .operators import convert, mosaic, resample, vector
-from .plans.view import MosaicView, RasterView, explode_tiles, map_cells
-from .sources import cities, tables
+from .plans.view import SIDE, MosaicView, RasterView, explode_tiles, map_cells
+from .sources import cities, geotiff, tables
 from .types import Bounds, Extent, Grid
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,7 +34,7 @@ pts AS (SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 7 <> 0 THE
   CASE WHEN c_custkey % 7 <> 0 THEN (c_custkey * c_custkey * 53 % 1700) / 10e0 - 85 END AS y FROM customer)"""
 WINDOWS = """
 w AS (SELECT c_custkey AS window_id, (c_custkey * 7) % 210 - 10 AS col_min, (c_custkey * 11) % 170 - 10 AS row_min, (c_custkey * 7) % 210 + 5 AS col_max, (c_custkey * 11) % 170 + 5 AS row_max
-  FROM customer WHERE c_custkey % 50 = 0)"""
+  FROM customer)"""
 CATALOG = """
 cat AS (SELECT n_name AS name, n_nationkey AS priority, CASE WHEN n_regionkey % 2 = 0 THEN 4326 ELSE 3857 END AS srid, 1 + n_nationkey % 3 AS band_count, n_nationkey % 8 AS type_rank,
   (n_nationkey * 3)::DOUBLE AS xmin, (n_nationkey % 4 * 5)::DOUBLE AS ymin, (10 + n_nationkey % 7)::BIGINT AS cols, (20 + n_nationkey % 5)::BIGINT AS rows,
@@ -248,12 +252,12 @@ def layout_keys(spark, sf_dir):
 
 
 @query(f"""WITH {_KEYS}, numbered AS (SELECT *, row_number() OVER (ORDER BY key_row, key_col) AS n FROM keys),
-chosen AS (SELECT * FROM numbered WHERE n % 5 = 1 ORDER BY n LIMIT 3)
+chosen AS (SELECT * FROM numbered WHERE n % 5 = 1 ORDER BY n LIMIT 100)
 SELECT c.n AS rank, key_col, key_row, count(b.value) AS n FROM chosen c, dims, band0 b WHERE b.col_idx >= xmin AND b.col_idx < xmax AND b.row_idx >= rows - ymax AND b.row_idx < rows - ymin GROUP BY ALL""")
 def every_kth_window(spark, sf_dir):
     view = raster(spark, sf_dir)
     numbered = _layout(spark, sf_dir).withColumn("rank", F.row_number().over(Window.orderBy("key_row", "key_col")).cast("long"))
-    chosen = numbered.where("rank % 5 = 1").orderBy("rank").limit(3)
+    chosen = numbered.where("rank % 5 = 1").orderBy("rank").limit(100)
     b = g.extent_to_bounds(view.grid, *(F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")))
     read = view.read_many(chosen.select(F.col("rank").alias("window_id"), *[c.alias(k) for k, c in b.items()]))
     counts = read.groupBy(F.col("window_id").alias("rank")).agg(F.count("value").alias("n"))
@@ -391,47 +395,63 @@ UNION ALL SELECT 2, band, col_idx - 12, row_idx + 45, value * 3 FROM band0),
 merged AS (SELECT band, col_idx, row_idx, arg_min(value, p) FILTER (value IS NOT NULL) AS value FROM srcs GROUP BY ALL)"""
 
 
-def _sources(spark, sf_dir, window: Bounds | None = None) -> list[DataFrame]:
-    """Cells of the three sources on the mosaic's grid; a window is moved into each source and pruned there."""
-    out = []
-    for p, (dx, dy) in enumerate(((0, 0), *MOVE)):
-        own = None if window is None else Bounds(window.col_min - dx, window.row_min - dy, window.col_max - dx, window.row_max - dy)
-        cells = raster(spark, sf_dir).read(bounds=own)
-        cells = tables.holes(cells) if p < 2 else cells
-        out.append(mosaic.shifted(cells.withColumn("value", F.col("value") * (p + 1)), dx, dy).withColumn("priority", F.lit(p)))
-    return out
+def _variant(spark, sf_dir, factor: float, gaps: bool, move: tuple[int, int] = (0, 0)) -> RasterView:
+    """The raster with its values multiplied, with gaps if asked for, moved by whole cells to the right and down."""
+    view = raster(spark, sf_dir)
+
+    def tiles(bands, keys):
+        col, row = (lambda i: F.col("tcol") * SIDE + i % SIDE), (lambda i: F.col("trow") * SIDE + F.floor(i / SIDE))
+        there = lambda i: (col(i) * 7 + row(i) * 13) % 5 != 0 if gaps else F.lit(True)
+        return view.tiles(bands, keys).withColumn("cells", F.transform("cells", lambda v, i: F.when(there(i), v * factor)))
+
+    e, (dx, dy) = view.grid.extent, move
+    return replace(view, tiles=tiles, grid=Grid(Extent(e.xmin + dx, e.ymin - dy, e.xmax + dx, e.ymax - dy), view.grid.cols, view.grid.rows))
+
+
+def _mosaic(spark, sf_dir, factor: float = 1.0) -> MosaicView:
+    """Three sources on the grid of the first."""
+    views = [_variant(spark, sf_dir, factor * (p + 1), p < 2, move) for p, move in enumerate(((0, 0), *MOVE))]
+    return MosaicView.of(views, 3857, views[0].grid, "three")
 
 
 @query(f"WITH {_MERGE} SELECT * FROM merged")
 def mosaic_merge(spark, sf_dir):
-    return mosaic.merge(_sources(spark, sf_dir))
+    return _mosaic(spark, sf_dir).read()
 
 
 @query(f"WITH {_MERGE} SELECT * FROM merged WHERE col_idx BETWEEN 20 AND 60 AND row_idx BETWEEN 10 AND 70")
 def mosaic_read_extent(spark, sf_dir):
-    grid = tables.embeddings_grid(spark, sf_dir)
-    return mosaic.merge(_sources(spark, sf_dir, grid.bounds_for(Extent(20.0, grid.rows - 71.0, 61.0, grid.rows - 10.0))))
+    view = _mosaic(spark, sf_dir)
+    return view.read(Extent(20.0, view.grid.rows - 71.0, 61.0, view.grid.rows - 10.0))
 
 
 @query(f"WITH {_MERGE} SELECT * FROM merged WHERE col_idx BETWEEN 5 AND 36 AND row_idx BETWEEN 40 AND 59")
 def mosaic_read_bounds(spark, sf_dir):
-    return mosaic.merge(_sources(spark, sf_dir, Bounds(5, 40, 36, 59)))
+    return _mosaic(spark, sf_dir).read(bounds=Bounds(5, 40, 36, 59))
 
 
 @query(f"""WITH {BASE}, srcs AS (SELECT 0 AS p, * FROM gaps UNION ALL SELECT 1, band, col_idx, row_idx, value * 2 FROM band0),
 small AS (SELECT p, band, c AS col_idx, r AS row_idx, value FROM (SELECT c, r, floor((c + 0.5) * 2.5e0)::BIGINT AS col_idx, floor((r + 0.5) * (rows / 64e0))::BIGINT AS row_idx FROM dims, range(0, 80) a(c), range(0, 64) b(r)) JOIN srcs USING (col_idx, row_idx))
 SELECT band, col_idx, row_idx, arg_min(value, p) FILTER (value IS NOT NULL) AS value FROM small GROUP BY ALL""")
 def mosaic_resample(spark, sf_dir):
-    grid = tables.embeddings_grid(spark, sf_dir)
-    target = Grid(grid.extent, 80, 64)
-    parts = [gapped(spark, sf_dir), raster(spark, sf_dir).read().withColumn("value", F.col("value") * 2)]
-    return mosaic.merge([resample.resample(c, grid, target).withColumn("priority", F.lit(p)) for p, c in enumerate(parts)])
+    view = MosaicView.of([_variant(spark, sf_dir, 1.0, True), _variant(spark, sf_dir, 2.0, False)], 3857)
+    return view.resample_to_grid(Grid(view.grid.extent, 80, 64)).read()
 
 
 @query(f"""WITH {_MERGE}, cast_srcs AS (SELECT p, band, col_idx, row_idx, CASE WHEN value IS NOT NULL THEN least(255e0, greatest(0e0, CASE WHEN value * 100 < 0 THEN -floor(-value * 100 + 0.5) ELSE floor(value * 100 + 0.5) END)) + 0e0 END AS value FROM srcs)
 SELECT band, col_idx, row_idx, arg_min(value, p) FILTER (value IS NOT NULL) AS value FROM cast_srcs GROUP BY ALL""")
 def mosaic_convert(spark, sf_dir):
-    return mosaic.merge([convert.convert(c.withColumn("value", F.col("value") * 100), "uint8") for c in _sources(spark, sf_dir)])
+    return _mosaic(spark, sf_dir, 100.0).convert("uint8").read()
+
+
+@query(f"""WITH {BASE} SELECT t.ord, 2 AS bands, 'float64' AS cell_type, 3857 AS srid, 2::BIGINT AS n_sources, cols // t.k AS cols, rows // t.k AS rows FROM dims, (VALUES (0::BIGINT, 1), (1, 2), (2, 1)) t(ord, k)""")
+def mosaic_view_metadata(spark, sf_dir):
+    base = raster(spark, sf_dir, 2)
+    half = Grid(base.grid.extent, base.grid.cols // 2, base.grid.rows // 2)
+    view = MosaicView.of([replace(base, cell_type="int16", overviews=(half,)), replace(base, name="second")], 3857, name="two")
+    m = view.metadata()
+    rows = [(i, m["band_count"], m["cell_type"], m["srid"], len(m["sources"]), r.cols, r.rows) for i, r in enumerate(view.resolutions())]
+    return spark.createDataFrame(rows, "ord long, bands int, cell_type string, srid int, n_sources long, cols long, rows long")
 
 
 # ---- reprojection ------------------------------------------------------------------------
@@ -461,15 +481,16 @@ def reproject_window_bbox(spark, sf_dir):
     return edge.groupBy("window_id").agg(r(F.min(mx)).alias("xmin"), r(F.min(my)).alias("ymin"), r(F.max(mx)).alias("xmax"), r(F.max(my)).alias("ymax"))
 
 
-#: The raster placed in degrees: cells of a quarter degree west and south of the origin's quadrant.
-DEGREES = 0.25
-_PLACE = f"""{BASE}, geo AS (SELECT -20e0 AS x0, 50e0 AS y1, 0.25e0 AS s)"""
+#: The raster placed in degrees, from 50 north and 20 west on: cells of a quarter degree, or smaller ones so that it ends at 50 south.
+DEGREES, SPAN = 0.25, 100.0
+_PLACE = f"""{BASE}, geo AS (SELECT -20e0 AS x0, 50e0 AS y1, least(0.25e0, 100e0 / rows) AS s FROM dims)"""
 
 
 def _placed(spark, sf_dir) -> RasterView:
     view = raster(spark, sf_dir)
     g0 = view.grid
-    return RasterView("degrees", view.tiles, Grid(Extent(-20.0, 50.0 - DEGREES * g0.rows, -20.0 + DEGREES * g0.cols, 50.0), g0.cols, g0.rows), srid=4326)
+    s = min(DEGREES, SPAN / max(g0.rows, 1))
+    return RasterView("degrees", view.tiles, Grid(Extent(-20.0, 50.0 - s * g0.rows, -20.0 + s * g0.cols, 50.0), g0.cols, g0.rows), srid=4326)
 
 
 _MERC_Y = "{R} * ln(tan(pi() / 4 + radians({y}) / 2))".replace("{R}", _R)
@@ -512,10 +533,94 @@ def reproject_to_region(spark, sf_dir):
 srcs AS (SELECT 0 AS p, * FROM gaps UNION ALL SELECT 1, band, col_idx, row_idx, value * 2 FROM band0)
 SELECT band, c AS col_idx, r AS row_idx, arg_min(value, p) FILTER (value IS NOT NULL) AS value FROM tc JOIN srcs USING (col_idx, row_idx) GROUP BY band, c, r""")
 def mosaic_reproject(spark, sf_dir):
-    view = _placed(spark, sf_dir)
     target = Grid(Extent(-2_000_000.0, 6_400_000.0 - 60 * 30_000.0, -2_000_000.0 + 80 * 30_000.0, 6_400_000.0), 80, 60)
-    parts = [gapped(spark, sf_dir), raster(spark, sf_dir).read().withColumn("value", F.col("value") * 2)]
-    return mosaic.merge([resample.reproject(c, view.grid, 4326, target, 3857).withColumn("priority", F.lit(p)) for p, c in enumerate(parts)])
+    views = [replace(_placed(spark, sf_dir), tiles=_variant(spark, sf_dir, p + 1.0, p == 0).tiles) for p in range(2)]
+    return MosaicView.of(views, 3857, target).read(bounds=target.bounds)
+
+
+_WARPED = "SELECT -2200000e0 AS tx, 6400000e0 AS ty, 45000e0 AS tcw, 45000e0 AS tch, 70 AS tcols, 60 AS trows"
+
+
+def _warped() -> Grid:
+    return Grid(Extent(-2_200_000.0, 6_400_000.0 - 60 * 45_000.0, -2_200_000.0 + 70 * 45_000.0, 6_400_000.0), 70, 60)
+
+
+@query(f"""WITH {_PLACE}, t AS ({_WARPED}), tc AS (SELECT c, r, (degrees((tx + (c + 0.5) * tcw) / {_R}) - x0) / s - 0.5 AS u,
+(y1 - degrees(2 * atan(exp((ty - (r + 0.5) * tch) / {_R})) - pi() / 2)) / s - 0.5 AS v FROM t, geo, range(0, 70) a(c), range(0, 60) b(r)),
+near AS (SELECT c, r, i + floor(u)::BIGINT AS col_idx, j + floor(v)::BIGINT AS row_idx, (1 - abs(u - i - floor(u))) * (1 - abs(v - j - floor(v))) AS w FROM tc, range(0, 2) a(i), range(0, 2) b(j)),
+made AS (SELECT c, r, sum(w * value) / sum(w) AS value FROM near JOIN gaps USING (col_idx, row_idx) WHERE value IS NOT NULL AND w > 0 GROUP BY c, r)
+SELECT 0 AS band, a.c AS col_idx, b.r AS row_idx, round(value, 8) + 0e0 AS value FROM range(0, 70) a(c) CROSS JOIN range(0, 60) b(r) LEFT JOIN made ON made.c = a.c AND made.r = b.r""")
+def reproject_bilinear(spark, sf_dir):
+    view = replace(_placed(spark, sf_dir), tiles=_variant(spark, sf_dir, 1.0, True).tiles)
+    return view.reproject_to_region(3857, _warped(), "bilinear").read().withColumn("value", F.round("value", 8) + F.lit(0.0))
+
+
+_AVERAGED = f"""WITH {_PLACE}, t AS ({_WARPED}), moved AS (SELECT floor(({_R} * radians(x0 + (col_idx + 0.5) * s) - tx) / tcw)::BIGINT AS c,
+floor((ty - {_MERC_Y.format(y='y1 - (row_idx + 0.5) * s')}) / tch)::BIGINT AS r, value FROM gaps, geo, t WHERE value IS NOT NULL),
+made AS (SELECT c, r, avg(value) AS value FROM moved GROUP BY c, r)
+SELECT 0 AS band, a.c AS col_idx, b.r AS row_idx, round(value, 8) + 0e0 AS value FROM range(0, 70) a(c) CROSS JOIN range(0, 60) b(r) LEFT JOIN made ON made.c = a.c AND made.r = b.r"""
+
+
+@query(_AVERAGED)
+def reproject_average(spark, sf_dir):
+    view = replace(_placed(spark, sf_dir), tiles=_variant(spark, sf_dir, 1.0, True).tiles)
+    return view.reproject_to_region(3857, _warped(), "average").read().withColumn("value", F.round("value", 8) + F.lit(0.0))
+
+
+@query(f"SELECT * FROM ({_AVERAGED}) WHERE col_idx BETWEEN 3 AND 40 AND row_idx BETWEEN 7 AND 59")
+def region_read_bounds(spark, sf_dir):
+    view = replace(_placed(spark, sf_dir), tiles=_variant(spark, sf_dir, 1.0, True).tiles)
+    out = view.reproject_to_region(3857, _warped(), "average").read(bounds=Bounds(3, 7, 40, 59))
+    return out.withColumn("value", F.round("value", 8) + F.lit(0.0))
+
+
+@query(f"""WITH {BASE}, {WINDOWS}, {_nearest_sql('SELECT 80 AS tcols, 64 AS trows, 0e0 AS tx, rows::DOUBLE AS ty, 2.5e0 AS tcw, rows / 64e0 AS tch FROM dims')}
+SELECT window_id, count(*) AS n, round(sum(round(value * 100)), 6) + 0e0 AS sum_value FROM w JOIN out_cells o ON o.col_idx BETWEEN w.col_min AND w.col_max AND o.row_idx BETWEEN w.row_min AND w.row_max GROUP BY window_id""")
+def multi_window_resampled(spark, sf_dir):
+    view = raster(spark, sf_dir).resample(80, 64)
+    cells = view.read_many(tables.windows(spark, sf_dir))
+    return _per_window(cells.withColumn("value", F.signum("value") * F.floor(F.abs(F.col("value") * 100) + 0.5)))
+
+
+# ---- files -----------------------------------------------------------------------------------
+
+#: Sides of the image written to a file: no multiples of a tile's.
+FILE_COLS, FILE_ROWS = 61, 43
+
+
+def _file(spark, sf_dir, **layout) -> RasterView:
+    """A view of a GeoTIFF of the raster's upper left corner (two bands, one overview), a bounded image that is written first."""
+    import tempfile
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lattica-")
+    cells = raster(spark, sf_dir, 2).read(bounds=Bounds(0, 0, FILE_COLS - 1, FILE_ROWS - 1)).toPandas()
+    image = np.zeros((2, FILE_ROWS, FILE_COLS), np.float64)
+    image[cells["band"], cells["row_idx"], cells["col_idx"]] = cells["value"]
+    fs, base = pafs.FileSystem.from_uri(folder)
+    fs.create_dir(base, recursive=True)
+    path = f"{folder.rstrip('/')}/corner-{uuid.uuid4().hex}.tif"
+    text = '<GDALMetadata><Item name="AREA">Area</Item><Item name="KEY" domain="TIFF">7</Item><Item name="B" sample="0">x</Item></GDALMetadata>'
+    geotiff.write(path, [image, image[:, ::2, ::2].copy()], Extent(0.0, 0.0, float(FILE_COLS), float(FILE_ROWS)), 3857, metadata=text, **layout)
+    return geotiff.view(spark, path, "corner")
+
+
+@query(f"WITH {BASE} SELECT band, col_idx, row_idx, value FROM both_bands WHERE col_idx < {FILE_COLS} AND row_idx < {FILE_ROWS}")
+def geotiff_read_full(spark, sf_dir):
+    return _file(spark, sf_dir, tile=16, deflate=True).read()
+
+
+@query(f"WITH {BASE} SELECT band, col_idx, row_idx, value FROM both_bands WHERE col_idx BETWEEN 5 AND {FILE_COLS - 1} AND row_idx BETWEEN 20 AND {FILE_ROWS - 1} AND band = 0")
+def geotiff_window(spark, sf_dir):
+    return _file(spark, sf_dir, strip_rows=7).read(bounds=Bounds(5, 20, 500, 500), bands=(0,))
+
+
+@query(f"""SELECT 'corner' AS name, 3857 AS srid, 2 AS bands, {FILE_COLS}::BIGINT AS cols, {FILE_ROWS}::BIGINT AS rows, 'float64' AS cell_type, d.domain, d.key, d.value
+FROM (VALUES ('', 'AREA', 'Area'), ('TIFF', 'KEY', '7')) d(domain, key, value)""")
+def geotiff_metadata(spark, sf_dir):
+    view = _file(spark, sf_dir)
+    m = view.metadata()
+    rows = [(m["name"], m["srid"], m["band_count"], m["cols"], m["rows"], m["cell_type"], d, k, v) for d, e in view.domain_metadata().items() for k, v in e.items()]
+    return spark.createDataFrame(rows, "name string, srid int, bands int, cols long, rows long, cell_type string, domain string, key string, value string")
 
 
 # ---- vectors -------------------------------------------------------------------------------

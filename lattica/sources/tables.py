@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..types import Extent, Grid
+from ..types import Bounds, Extent, Grid
 
 #: Cells along a side of a tile, and tiles in a row of the embeddings raster.
 SIDE, ACROSS = 8, 25
@@ -22,14 +22,14 @@ def embeddings_grid(spark: SparkSession, sf_dir: str) -> Grid:
     return Grid(Extent(0.0, 0.0, float(ACROSS * SIDE), float(rows)), ACROSS * SIDE, rows)
 
 
-def embedding_tiles(spark: SparkSession, sf_dir: str, bands: tuple[int, ...] = (0, 1), trow: tuple[int, int] | None = None) -> DataFrame:
+def embedding_tiles(spark: SparkSession, sf_dir: str, bands: tuple[int, ...] = (0, 1), keys: Bounds | None = None) -> DataFrame:
     """Tiles of 8x8 cells: band 0 the embedding, band 1 its label in every cell.
 
     A range of tile rows is a range of ids, so it is pushed down to the scan.
     """
     df = table(spark, sf_dir, "embeddings")
-    if trow is not None:
-        df = df.where(F.col("vec_id").between(trow[0] * ACROSS, trow[1] * ACROSS + ACROSS - 1))
+    if keys is not None:
+        df = df.where(F.col("vec_id").between(keys.row_min * ACROSS, keys.row_max * ACROSS + ACROSS - 1))
     key = [(F.col("vec_id") % ACROSS).alias("tcol"), F.floor(F.col("vec_id") / ACROSS).alias("trow")]
     parts = []
     if 0 in bands:
@@ -61,9 +61,9 @@ def points(spark: SparkSession, sf_dir: str, nulls: bool = True) -> DataFrame:
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(window_id, col_min, row_min, col_max, row_max): 16x16 windows, some beyond the grid."""
+    """(window_id, col_min, row_min, col_max, row_max): a 16x16 window for each customer, some beyond the grid."""
     k = F.col("c_custkey")
-    df = table(spark, sf_dir, "customer").where(k % 50 == 0)
+    df = table(spark, sf_dir, "customer")
     c, r = (k * 7) % 210 - 10, (k * 11) % 170 - 10
     return df.select(k.alias("window_id"), c.alias("col_min"), r.alias("row_min"), (c + 15).alias("col_max"), (r + 15).alias("row_max"))
 

@@ -222,6 +222,36 @@ def test_reprojection(spark, cells):
     assert cells_of(view.read(bounds=window)) == {k: v for k, v in whole.items() if 3 <= k[1] <= 17 and 4 <= k[2] <= 15}
 
 
+def test_reprojection_keeps_its_method_and_ends_at_the_poles(spark, cells):
+    grid = Grid(Extent(-5.0, 40.0, 5.0, 46.0), 40, 24)
+    view = array_view(spark, cells, grid, srid=4326)
+    made = {m: cells_of(view.reproject_to_region(3857, Grid(Extent(-600_000.0, 4_800_000.0, 600_000.0, 5_800_000.0), 12, 10), m).read()) for m in ("nearest", "bilinear", "average", "max")}
+    assert made["nearest"] != made["bilinear"] != made["average"] != made["max"]
+    by = {}
+    for (b, r, c), v in np.ndenumerate(cells):
+        x, y = crs.transform_point(-5.0 + (c + 0.5) * grid.cw, 46.0 - (r + 0.5) * grid.ch, 4326, 3857)
+        by.setdefault((b, int((x + 600_000) // 100_000), int((5_800_000 - y) // 100_000)), []).append(v)
+    for k, v in made["average"].items():
+        assert v is None if k not in by else abs(v - sum(by[k]) / len(by[k])) < 1e-9
+    assert {k for k, v in made["max"].items() if v is not None} == set(by)
+    polar = array_view(spark, cells, Grid(Extent(-180.0, -90.0, 180.0, 90.0), 40, 24), srid=4326).reproject(3857, "bilinear")
+    assert abs(polar.grid_extent.extent.ymax) < 2.1e7 and polar.read().count() > 0
+    x, y = crs.transform(F.lit(0.0), F.col("lat"), 4326, 3857)
+    got = [r[0] for r in spark.createDataFrame([(-90.0,), (90.0,), (None,)], "lat double").select(y).collect()]
+    assert abs(got[0] + got[1]) < 1e-6 and got[0] < -2e7 and got[2] is None
+
+
+def test_region_windows_are_filled(spark, cells):
+    whole = array_view(spark, cells, Grid(Extent(0.0, 0.0, 40.0, 24.0), 40, 24)).resample_to_region(Grid(Extent(-6.0, 12.0, 6.0, 24.0), 12, 12))
+    every = cells_of(whole.read())
+    assert len(every) == 144 * len(cells) and cells_of(whole.read(bounds=Bounds(0, 0, 11, 11))) == every
+    small = cells_of(whole.read(bounds=Bounds(2, 3, 7, 8)))
+    assert small == {k: v for k, v in every.items() if 2 <= k[1] <= 7 and 3 <= k[2] <= 8}
+    many = whole.read_many(spark.createDataFrame([(1, 2, 3, 7, 8), (2, 2, 3, 7, 8)], "window_id long, col_min long, row_min long, col_max long, row_max long")).collect()
+    for w in (1, 2):
+        assert {(r.band, r.col_idx, r.row_idx): r.value for r in many if r.window_id == w} == small
+
+
 @pytest.mark.parametrize("kw", [{}, {"endian": ">"}, {"tile": 16}, {"deflate": True, "predictor": 2}, {"tile": 16, "planar": True, "deflate": True}, {"nodata": 7.0}])
 @pytest.mark.parametrize("dtype", ["u1", "i2", "f4"])
 def test_geotiff(spark, tmp_path, kw, dtype):
@@ -236,6 +266,45 @@ def test_geotiff(spark, tmp_path, kw, dtype):
     assert abs(view.grid.extent.ymin - extent.ymin) < 1e-6
     want = {(b, c, r): float(base[b, r, c]) if base[b, r, c] != kw.get("nodata") else None for b in range(2) for r in range(9, 21) for c in range(5, 31)}
     assert cells_of(view.read(bounds=Bounds(5, 9, 30, 20))) == want
+    whole = {(b, c, r): float(base[b, r, c]) if base[b, r, c] != kw.get("nodata") else None for b in range(2) for r in range(29) for c in range(43)}
+    assert cells_of(view.read()) == whole  # no cell of a tile's padding
+
+
+def test_geotiff_segments_are_decoded_once(tmp_path, monkeypatch):
+    base = np.arange(2 * 70 * 90, dtype=np.int32).reshape(2, 70, 90)
+    path, reads = str(tmp_path / "a.tif"), []
+    geotiff.write(path, [base], Extent(0.0, 0.0, 90.0, 70.0), tile=32, deflate=True)
+    inner = geotiff.segment
+    monkeypatch.setattr(geotiff, "segment", lambda read, im, index: reads.append(index) or inner(read, im, index))
+    reader = geotiff._Reader({"path": path, "tcol_min": 4, "tcol_max": 7, "trow_min": 3, "trow_max": 8})
+    got = [b for p in reader.partitions() for b in reader.read(p)]
+    assert sorted(reads) == [1, 4, 7]  # the second of three columns of segments, each once for both bands
+    assert {tuple(x) for b in got for x in zip(b["tcol"].to_pylist(), b["trow"].to_pylist(), b["band"].to_pylist())} == {(c, r, b) for c in range(4, 8) for r in range(3, 9) for b in range(2)}
+
+
+def test_unpacking():
+    """Against an encoder that keeps the same table."""
+    raw = bytes(np.random.default_rng(1).integers(0, 4, 20_000).astype("u1"))
+
+    def lzw(data):
+        table, width, codes, word = {bytes([i]): i for i in range(256)}, 9, [(256, 9)], b""
+        for i in range(len(data)):
+            if word + data[i : i + 1] in table:
+                word += data[i : i + 1]
+                continue
+            codes.append((table[word], width))
+            table[word + data[i : i + 1]] = len(table) + 2
+            word = data[i : i + 1]
+            width = max(9, (len(table) + 2).bit_length()) if len(table) + 2 < 4094 else width
+            if len(table) + 2 == 4094:
+                codes.append((256, 12))
+                table, width = {bytes([i]): i for i in range(256)}, 9
+        codes += [(table[word], width), (257, width)]
+        bits = "".join(f"{c:0{w}b}" for c, w in codes)
+        return int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+
+    assert geotiff.unpack_lzw(lzw(raw)) == raw
+    assert geotiff.unpack_bits(bytes([2, 1, 2, 3, 254, 9, 128, 0, 7])) == b"\1\2\3\x09\x09\x09\x07"
 
 
 def test_geotiff_errors(tmp_path):
