@@ -202,6 +202,7 @@ def test_vectors(spark):
     dense = rng.standard_normal(16)
     rows += [(1000 + i, [float(np.float32(x)) for x in dense + rng.standard_normal(16) * 0.05], 5) for i in range(200)]
     rows += [(2000, None, 1), (2001, [0.0] * 16, 1), (2002, [float("nan")] * 16, 1), (2003, [1.0, None], 1), (2004, [1.0, 2.0], None), (2005, [1.0, 2.0], 1), (2006, [2.0, 4.0], 1), (2007, [], 1)]
+    rows += [(2008, [1e30, 2e30], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)
     got = {r.vec_id: r for r in neardup_vectors.near_vectors(df).collect()}
     fine = [(i, np.array(v), c) for i, v, c in rows if v and c is not None and None not in v and np.isfinite(v).all() and np.any(v)]
@@ -215,6 +216,10 @@ def test_vectors(spark):
     want = roots(links, edges)
     assert {i: (r.n_links, r.component_id, r.kept) for i, r in got.items()} == {i: (links[i], want[i], want[i] == i) for i in links}
     assert rows_of(neardup_vectors.near_vectors(df.limit(0))) == []
+    # ids that repeat or are null, and columns of the operator's own names
+    odd = [(7, [1.0, 2.0], 1, "x", 0.5), (7, [1.0, 2.001], 1, "y", 0.5), (None, [1.0, 2.0], 1, "z", 0.5), (9, [-2.0, 1.0], 1, None, None), (9, [1e300, 2e300], 1, "x", 0.5)]
+    got = neardup_vectors.near_vectors(spark.createDataFrame(odd, "vec_id long, embedding array<double>, label int, node string, dim double"))
+    assert sorted(map(repr, rows_of(got))) == sorted(map(repr, [(7, 3, 7, True), (7, 3, 7, True), (None, 3, 7, None), (9, 0, 9, True), (9, 3, 7, False)]))
 
 
 def test_vectors_that_point_the_same_way(spark):
@@ -238,6 +243,50 @@ def test_vectors_that_point_the_same_way(spark):
     assert 0 < neardup_vectors.passes_for(10**6, 0.93) < neardup_vectors.passes_for(10**6, 0.93, 0.3)
 
 
+def links_of(x, bound=0.93):
+    x = x / np.sqrt((x * x).sum(1))[:, None]
+    hit = x @ x.T >= bound
+    np.fill_diagonal(hit, False)
+    a, b = np.nonzero(hit)
+    return hit.sum(1), roots(range(len(x)), list(zip(a.tolist(), b.tolist())))
+
+
+@pytest.mark.parametrize("mean, partitions", [(0.87, 4), (0.885, 31), (0.0, 3), (0.5, 31)])
+def test_vectors_lose_no_link(spark, mean, partitions):
+    """Groups around one centre and spread ones, with planted pairs at the bound, equal all pairs at any number of partitions."""
+    rng, n, dim = np.random.default_rng(7), 3000, 64
+    unit = lambda v: v / np.sqrt((v * v).sum(-1, keepdims=True))
+    x = unit(np.sqrt(mean) * unit(rng.standard_normal(dim)) + np.sqrt(1 - mean) * unit(rng.standard_normal((n, dim))))
+    step = rng.standard_normal((200, dim))
+    step -= (step * x[:200]).sum(1)[:, None] * x[:200]
+    x = np.concatenate((x, 0.935 * x[:200] + np.sqrt(1 - 0.935**2) * unit(step))).astype(np.float32)
+    links, want = links_of(x.astype(np.float64))
+    assert links.sum() >= 300
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+        got = {r.vec_id: (r.n_links, r.component_id) for r in neardup_vectors.near_vectors(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == {i: (links[i], want[i]) for i in range(len(x))}
+
+
+def test_passes_settle_spread_labels(spark):
+    """Spread vectors are settled by their passes; those of a dense group in the same label, and only those, are open."""
+    rng, dim = np.random.default_rng(8), 64
+    x = np.concatenate((rng.standard_normal((4000, dim)), rng.standard_normal(dim) + 0.2 * rng.standard_normal((400, dim))))
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    ready = neardup_vectors._prepared(df).select("label", "dim", "vec", F.col("vec_id").alias("node"))
+    found = neardup_vectors.written(neardup_vectors._passes(neardup_vectors._centred(ready, 0.93), 0.93, 7), "found")
+    some = found.where("kind <> 2").select("kind", "a", "b", "score").unionByName(neardup_vectors._borders(found, 0.93))
+    scores = dict(rows_of(some.where("kind = 1").groupBy("a").agg(F.sum("score"))))
+    opened = {i for i in range(len(x)) if scores.get(i, 0.0) > np.log(neardup_vectors.MISS)}
+    assert len([i for i in opened if i < 4000]) < 400 and all(found.groupBy("kind").count().collect())
+    credits = rows_of(some.where("kind = 1").groupBy("a").count())
+    assert {c for _, c in credits} == {neardup_vectors.passes_for(len(x), 0.93, 1 - float((np.square((x / np.sqrt((x * x).sum(1))[:, None]).mean(0))).sum()))}
+
+
 def test_zip_reader_against_library(tmp_path):
     blobs = {"a.txt": b"hello", warc_zip.DATA: bytes(range(256)) * 50, "d/é": b""}
     for kind in ("library", "plain", "zip64"):
