@@ -8,6 +8,14 @@ hashes and places are shuffled: anchors met once are dropped by a partial
 aggregation, equal snippets are one class with its first place. A class that is
 alone under its anchor has nothing to be compared with.
 
+An anchor with more than ``HOT`` bytes of classes, as one at the rim of a
+passage that a third of all documents hold each in another context, is split:
+its strings are dealt by where the anchor stands in them, in steps of 10 bytes
+and then of one, and by the bytes beside it that all strings of a step have.
+Equal strings stay together, each key has one step's strings and contexts only,
+and at steps of one byte a key is one string. So no task ever gets more than
+about ``HOT`` bytes of one key.
+
 The other classes' bytes are gathered into texts of whole anchors, of about
 ``TEXT`` bytes. On the Burrows-Wheeler transform of a text, intervals are
 extended backward breadth-first: level l derives all common prefixes of value
@@ -25,17 +33,20 @@ text; a null id comes first. An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_in, written
+from .common import maybe_flag, maybe_in, written
 from .textnp import chunks, mix, ranges, span_hash
 
 LENGTH, GRAM = 100, 16
-TEXT = 1 << 20
+TEXT = HOT = 1 << 20
+#: Steps by which strings of a hot anchor are dealt, one after the other.
+STEPS = (10, 1)
 PLACES = ["doc", "th", "start", "len", "a", "s"]
 
 
@@ -50,11 +61,11 @@ def grams(data: np.ndarray) -> np.ndarray:
 
 
 def snippets(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(document, start in the chunk, length, anchor hash) of every snippet of a chunk."""
+    """(document, start in the chunk, length, anchor hash, place of the anchor) of every snippet of a chunk."""
     n, windows = len(data), len(data) - length + 1
     if windows <= 0:
         z = np.zeros(0, np.int64)
-        return z, z, z, np.zeros(0, np.uint64)
+        return z, z, z, np.zeros(0, np.uint64), z
     h = grams(data)
     least = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
     width, span = 1, length - GRAM + 1
@@ -73,7 +84,7 @@ def snippets(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tup
     last = np.ones(windows, bool)
     last[:-1] = (anchor[1:] != anchor[:-1]) | ~valid[1:]
     end = np.flatnonzero(last & valid)
-    return np.searchsorted(offsets, begin, "right") - 1, begin, end - begin + length, h[anchor[begin]]
+    return np.searchsorted(offsets, begin, "right") - 1, begin, end - begin + length, h[anchor[begin]], anchor[begin]
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -182,15 +193,15 @@ def _anchors(docs: DataFrame, only: bool) -> DataFrame:
         for batch in batches:
             ids, hashes = (batch.column(i).to_numpy() for i in (0, 1))
             for i, data, offsets in chunks(batch.column(2)):
-                doc, begin, size, a = snippets(data, offsets)
+                doc, begin, size, a, q = snippets(data, offsets)
                 if only:
                     yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64))], ["a"])
                     continue
                 s = span_hash(data, begin, begin + size).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[i:][doc]), pa.array(hashes[i:][doc]), pa.array((begin - offsets[doc]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(s)], PLACES)
+                    [pa.array(ids[i:][doc]), pa.array(hashes[i:][doc]), pa.array((begin - offsets[doc]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(s), pa.array((q - offsets[doc]).astype(np.int32))], [*PLACES, "q"])
 
-    return docs.mapInArrow(run, "a long" if only else "doc long, th int, start int, len int, a long, s long")
+    return docs.mapInArrow(run, "a long" if only else "doc long, th int, start int, len int, a long, s long, q int")
 
 
 ORDER = ["a", "s", "len", "doc", "th", "start"]
@@ -203,15 +214,17 @@ def _heads(places: DataFrame, last: bool) -> DataFrame:
     nothing to be compared with and is left out. Places that occur twice (equal rows) count once.
     """
 
+    own = [*PLACES, "q"]
+
     def emit(c: dict, kind: np.ndarray, on: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c[k][on]) for k in PLACES] + [pa.array(kind[on])], [*PLACES, "kind"])
+        return pa.RecordBatch.from_arrays([pa.array(c[k][on]) for k in own] + [pa.array(kind[on])], [*own, "kind"])
 
     def run(batches):
         before, held, many = None, None, None  # last place, a first class held back, and the last anchor that has several
         for batch in batches:
             if not batch.num_rows:
                 continue
-            c = {k: batch.column(i).to_numpy() for i, k in enumerate(PLACES)}
+            c = {k: batch.column(i).to_numpy() for i, k in enumerate(own)}
             old = {k: np.concatenate(([c[k][0] if before is None else before[k]], c[k][:-1])) for k in PLACES}
             same = np.ones(batch.num_rows, bool)
             for k in ("a", "s", "len"):
@@ -227,7 +240,7 @@ def _heads(places: DataFrame, last: bool) -> DataFrame:
                 yield emit(c, kind, ~twice)
                 continue
             if held is not None:  # it comes first, as it is sorted before
-                c = {k: np.concatenate((held[k], c[k])) for k in PLACES}
+                c = {k: np.concatenate((held[k], c[k])) for k in own}
                 kind, twice, held = np.concatenate(([FIRST], kind)).astype(np.int8), np.concatenate(([False], twice)), None
             new = np.concatenate(([True], c["a"][1:] != c["a"][:-1]))
             group = np.cumsum(new) - 1
@@ -239,10 +252,10 @@ def _heads(places: DataFrame, last: bool) -> DataFrame:
             if several[-1]:
                 many = c["a"][-1]
             elif (open_ := np.flatnonzero(tail & (kind == ALONE))).size:
-                held = {k: c[k][open_] for k in PLACES}
+                held = {k: c[k][open_] for k in own}
             yield emit(c, kind, ~twice & (kind != ALONE))
 
-    return places.sortWithinPartitions(*ORDER).mapInArrow(run, "doc long, th int, start int, len int, a long, s long, kind byte")
+    return places.sortWithinPartitions(*ORDER).mapInArrow(run, "doc long, th int, start int, len int, a long, s long, q int, kind byte")
 
 
 def _bytes(firsts: DataFrame, docs: DataFrame) -> DataFrame:
@@ -318,25 +331,79 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(ids.alias("doc"), (F.hash("text") if repeats else (ids % 1).cast("int")).alias("th"), "text")
 
 
-def removed(docs: DataFrame, placed: DataFrame) -> DataFrame:
-    """(doc, th, spans): the byte intervals, not merged, that go from each document of ``keyed`` docs; ``placed`` are those, dealt by key."""
+def _split(hot: DataFrame, docs: DataFrame, step: int) -> DataFrame:
+    """PLACES of the strings of ``hot`` snippets, dealt by the anchor's offset in them in steps, under keys of what stands around the anchor."""
+    per = hot.groupBy("doc", "th").agg(F.collect_list(F.struct("start", "len", "q")).alias("parts"))
+    texts = maybe_in(docs, F.col("doc"), per, F.col("doc"))
+
+    def run(batches):
+        for batch in batches:
+            ids, hashes = (batch.column(i).to_numpy() for i in (0, 1))
+            for i, data, offsets in chunks(batch.column(2)):
+                lists = batch.column(3).slice(i, len(offsets) - 1)
+                n = lists.value_lengths().to_numpy(zero_copy_only=False)
+                flat = lists.flatten()
+                start, size, q = (flat.field(f).to_numpy().astype(np.int64) for f in range(3))
+                doc = np.repeat(np.arange(len(n)), n)
+                begin, anchor, windows = start + offsets[doc], q + offsets[doc], size - LENGTH + 1
+                # offsets of the anchor in the snippet's strings go from high down to low
+                high = anchor - begin
+                low = high - windows + 1
+                first, many = low // step, high // step - low // step + 1
+                k = ranges(first, many)
+                row = np.repeat(np.arange(len(many)), many)
+                lo, hi = k * step, np.minimum(k * step + step - 1, LENGTH - GRAM)
+                b = np.maximum(begin[row], anchor[row] - hi)
+                e = np.minimum(begin[row] + windows[row] - 1, anchor[row] - lo) + LENGTH
+                key = mix(span_hash(data, anchor[row] - lo, anchor[row] + LENGTH - hi) + mix((k * 128 + step).astype(np.uint64)))
+                at = doc[row]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[i:][at]), pa.array(hashes[i:][at]), pa.array((b - offsets[at]).astype(np.int32)), pa.array((e - b).astype(np.int32)), pa.array(key.view(np.int64)), pa.array(span_hash(data, b, e).view(np.int64)), pa.array(q[row].astype(np.int32))], [*PLACES, "q"])
+
+    return texts.join(per, ["doc", "th"]).select("doc", "th", "text", "parts").mapInArrow(run, "doc long, th int, start int, len int, a long, s long, q int")
+
+
+def removed(docs: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Of ``keyed`` docs: tables of copies (doc, th, begin, end), and of the first snippets (PLACES) of classes that are to be compared with others."""
     met = written(_anchors(docs, True).groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "met")
     # a hot anchor may be split by this join: what is first in a part of it is compared again below, the rest is copies
-    places = maybe_in(_anchors(docs, False), F.col("a"), met, F.col("a"), 19).join(met, "a", "left_semi").select(*PLACES)
-    parts = written(_heads(places, False), "parts")
+    places = maybe_in(_anchors(docs, False), F.col("a"), met, F.col("a"), 19).join(met, "a", "left_semi").select(*PLACES, "q")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    heads = written(_heads(parts.where(F.col("kind") == FIRST).select(*PLACES).repartition(n, "a"), True), "heads")
-    copies = parts.where(F.col("kind") == COPY).unionByName(heads.where(F.col("kind") == COPY)).select("doc", "th", F.col("start").alias("begin"), (F.col("start") + F.col("len")).alias("end"))
-    cut = copies.unionByName(_expand(_bytes(heads.where(F.col("kind") == FIRST), placed)))
-    return cut.groupBy("doc", "th").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    copies, firsts = [], []
+    for step in (*STEPS, None):
+        parts = written(_heads(places, False), "parts")
+        once = parts.where(F.col("kind") == FIRST)
+        copies.append(parts.where(F.col("kind") == COPY))
+        hot = None
+        if step:
+            hot = written(once.groupBy("a").agg(F.sum("len").alias("bytes")).where(F.col("bytes") > HOT).select("a"), "hot")
+            if hot.isEmpty():
+                hot = None
+        cold = once if hot is None else once.join(hot, "a", "left_anti")
+        heads = written(_heads(cold.select(*PLACES, "q").repartition(n, "a"), True), "heads")
+        copies.append(heads.where(F.col("kind") == COPY))
+        firsts.append(heads.where(F.col("kind") == FIRST).select(*PLACES))
+        if hot is None:
+            break
+        dealt = written(_split(once.join(hot, "a", "left_semi"), docs, step), "dealt")
+        again = written(dealt.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "met")
+        places = maybe_in(dealt, F.col("a"), again, F.col("a"), 19).join(again, "a", "left_semi").select(*PLACES, "q")
+    return [c.select("doc", "th", F.col("start").alias("begin"), (F.col("start") + F.col("len")).alias("end")) for c in copies], firsts
 
 
 def dedup_bytes(docs: DataFrame, text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of ``docs(doc_id, text)``; with ``text`` also the bytes that stay."""
     base = keyed(docs)
-    # both joins with the texts use this one exchange
-    placed = base.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc", "th")
-    joined = placed.join(removed(base, placed), ["doc", "th"], "left").select("doc", "text", "spans")
+    copies, firsts = removed(base)
+    # texts that hold nothing to be removed or compared stay where they are; both joins with the others use one exchange
+    holders = reduce(DataFrame.unionByName, [t.select("doc") for t in (*copies, *firsts)])
+    flagged = maybe_flag(base, F.col("doc"), holders, F.col("doc"))
+    placed = flagged.where("__maybe").drop("__maybe").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc", "th")
+    cut = reduce(DataFrame.unionByName, [*copies, _expand(_bytes(reduce(DataFrame.unionByName, firsts), placed))])
+    spans = cut.groupBy("doc", "th").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    joined = placed.join(spans, ["doc", "th"], "left").select("doc", "text", "spans")
+    none = F.lit(None).cast(joined.schema["spans"].dataType)
+    joined = joined.unionByName(flagged.where("not __maybe").select("doc", "text", none.alias("spans")))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * text
 
     def run(batches):

@@ -83,18 +83,24 @@ def hash128(*cols: Column) -> tuple[Column, Column]:
     return F.xxhash64(*cols), F.xxhash64(F.lit(0x5BD1E995), *cols)
 
 
-def maybe_in(df: DataFrame, key: Column, members: DataFrame, member: Column, words: int = 17) -> DataFrame:
-    """The rows of ``df`` whose key may be among ``members``: none of those is missed, some others pass.
+def maybe_flag(df: DataFrame, key: Column, members: DataFrame, member: Column, words: int = 17) -> DataFrame:
+    """``df`` with ``__maybe``: true for every row whose key is among ``members``, and by chance for some others.
 
     A bitmap of 2**(words+6) hashes, as at most 2**words rows, is broadcast: its size is fixed whatever the tables hold.
-    It spares a following join most of the shuffle of rows that would not match.
+    It spares a following join most of the shuffle of rows that would not match; with far more members than bits it
+    lets everything pass, and the join does all of the work.
     """
     h = F.xxhash64(member)
     bits = members.select(F.shiftrightunsigned(h, 64 - words).alias("__w"), F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")).alias("b")).groupBy("__w").agg(F.bit_or("b").alias("__b"))
     h = F.xxhash64(key)
-    marked = df.withColumn("__h", h).withColumn("__w", F.shiftrightunsigned(F.col("__h"), 64 - words)).join(F.broadcast(bits), "__w")
+    marked = df.withColumn("__h", h).withColumn("__w", F.shiftrightunsigned(F.col("__h"), 64 - words)).join(F.broadcast(bits), "__w", "left")
     hit = F.call_function("shiftrightunsigned", F.col("__b"), F.col("__h").bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
-    return marked.where(hit).select(*[F.col(f"`{c}`") for c in df.columns])
+    return marked.withColumn("__maybe", F.coalesce(hit, F.lit(False))).select(*[F.col(f"`{c}`") for c in df.columns], "__maybe")
+
+
+def maybe_in(df: DataFrame, key: Column, members: DataFrame, member: Column, words: int = 17) -> DataFrame:
+    """The rows of ``df`` that ``maybe_flag`` marks: none of the members' is missed, some others pass."""
+    return maybe_flag(df, key, members, member, words).where("__maybe").drop("__maybe")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -531,6 +531,40 @@ def test_densification_agrees_with_similarity():
         assert abs((sig[0] == sig[1]).mean() - true) < 0.35
 
 
+def later_bytes(rows):
+    """What operator 10 returns of each (doc_id, text), by a set of all strings of 100 bytes."""
+    seen, want = set(), {}
+    for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        x = (t or "").encode()
+        gone = np.zeros(len(x), bool)
+        for s in range(len(x) - 99):
+            if x[s : s + 100] in seen:
+                gone[s : s + 100] = True
+            seen.add(x[s : s + 100])
+        want[d, t] = (len(x), int(gone.sum()), int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum()), hashlib.sha256(np.frombuffer(x, np.uint8)[~gone].tobytes()).hexdigest())
+    return want
+
+
+def test_hot_anchors_are_split(spark, monkeypatch):
+    """One passage in most documents, each time in another context: its rim's anchors are dealt to many keys of bounded size."""
+    rnd, rows = random.Random(21), []
+    word = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage, few = word(230), [word(9) for _ in range(12)]
+    for i in range(300):
+        # a few contexts beside the passage are shared, so strings over the rim repeat as well
+        rows.append((i, word(rnd.randint(30, 90)) + rnd.choice(few) + passage + rnd.choice(few) + word(rnd.randint(30, 90))))
+    rows += [(400, rows[3][1][:150] + word(50)), (401, rows[5][1]), (None, rows[6][1]), (402, None)]
+    monkeypatch.setattr(bwt_dedup, "HOT", 4000)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(repr, rows_of(bwt_dedup.dedup_bytes(df))))
+    want = later_bytes(set(rows))
+    assert got == sorted(repr((d, *want[d, t])) for d, t in rows)
+    copies, firsts = bwt_dedup.removed(bwt_dedup.keyed(df))
+    assert len(firsts) > 1
+    sizes = [t.groupBy("a").agg(F.sum("len").alias("n")).agg(F.max("n")).first()[0] or 0 for t in firsts]
+    assert max(sizes) <= 4000
+
+
 def test_bwt(docs, empty):
     rnd = random.Random(3)
     for _ in range(100):
@@ -544,16 +578,7 @@ def test_bwt(docs, empty):
             shared = next((i for i, (a, b) in enumerate(zip(p, q)) if a != b), min(len(p), len(q)))
             assert (shared < length) == bool(first[k])
     rows = {(r.doc_id, r.text) for r in docs.collect()}
-    seen, want = set(), {}
-    ids = [d for d, _ in rows]
-    for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
-        x = (t or "").encode()
-        gone = np.zeros(len(x), bool)
-        for s in range(len(x) - 99):
-            if x[s : s + 100] in seen:
-                gone[s : s + 100] = True
-            seen.add(x[s : s + 100])
-        want[d, t] = (len(x), int(gone.sum()), int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum()), hashlib.sha256(np.frombuffer(x, np.uint8)[~gone].tobytes()).hexdigest())
+    ids, want = [d for d, _ in rows], later_bytes(rows)
     got = sorted(repr(r) for r in rows_of(bwt_dedup.dedup_bytes(docs)))
     assert ids.count(4) == 2
     assert got == sorted(repr((r.doc_id, *want[r.doc_id, r.text])) for r in docs.collect())
