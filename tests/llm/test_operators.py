@@ -6,6 +6,7 @@ import re
 import struct
 import zipfile
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -160,11 +161,85 @@ def test_mixing(docs, empty, spark):
     assert rows_of(mixing.mix_documents(empty)) == []
 
 
-def test_targets():
-    assert mixing.targets([10, 10, 10], [1, 2, 3], 3) == [5.0, 10.0, 15.0]
-    got = mixing.targets([100, 1, 1], [1, 2, 3], 3)
-    assert got == [96.0, 3.0, 3.0]
-    assert mixing.targets([], [], 3) == []
+def targets(sizes, weights, cap):
+    """The fixed point of sharing by weight with caps: sources are capped in the order of cap by weight while the share of the rest is above."""
+    left, rest, out = Fraction(sum(sizes)), Fraction(sum(weights)), [0.0] * len(sizes)
+    order = sorted(range(len(sizes)), key=lambda i: Fraction(cap * sizes[i], weights[i]))
+    for n, i in enumerate(order):
+        if left * weights[i] <= cap * sizes[i] * rest:
+            for j in order[n:]:
+                out[j] = float(left * weights[j] / rest)
+            break
+        out[i] = float(cap * sizes[i])
+        left, rest = left - cap * sizes[i], rest - weights[i]
+    return out
+
+
+def test_targets(spark):
+    assert targets([100, 1, 1], [1, 2, 3], 3) == [96.0, 3.0, 3.0]
+    rnd = random.Random(3)
+    for sizes in ([10, 10, 10], [100, 1, 1], [0, 5], [0, 0], [int(10 ** rnd.uniform(0, 5)) for _ in range(200)], [3**i for i in range(12)]):
+        weights = [(1, 2, 3)[i % 3] for i in range(len(sizes))]
+        df = spark.createDataFrame([(i, n, w) for i, (n, w) in enumerate(zip(sizes, weights))], "src long, source_size long, weight long")
+        got = [r.target for r in mixing.capped(df, 3).orderBy("src").collect()]
+        assert np.allclose(got, targets(sizes, weights, 3), rtol=1e-12)
+    assert mixing.capped(spark.createDataFrame([], "src long, source_size long, weight long"), 3).collect() == []
+
+
+def test_mixing_against_brute_force(spark):
+    """Word by word: targets, packing, the balance of blocks and what is taken, for more sources than fit in a list, with repeated rows."""
+    rnd = random.Random(17)
+    text = lambda n: " ".join(f"w{rnd.randrange(99)}" for _ in range(n))
+    rows = [(i, text(rnd.randint(0, 60)), f"h{rnd.randrange(11_000)}") for i in range(12_000)]
+    rows += [(i, text(rnd.randint(0, 300)), "hot") for i in range(20_000, 21_500)] + [(30_000, "a b c " * 40, "hot")] * 5 + [(None, text(50), None), (1, None, "h1"), (2, " \n", "z")]
+    mix = mixing.Mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), block=8, slots=512)
+    got = mix.taken().collect()
+    size = lambda t: len(WORD.findall(t or ""))
+    total = {}
+    for _, t, s in rows:
+        total[s] = total.get(s, 0) + size(t)
+    names = sorted(total, key=lambda s: (s is None, s or ""))
+    assert len(names) > 7_000
+    goal = dict(zip(names, targets([total[s] for s in names], [(1, 2, 3)[i % 3] for i in range(len(names))], 3)))
+    sources = {r.src: (r["__source"], r.source_size, r.target) for r in mix.sources.collect()}
+    assert [sources[i][0] for i in range(len(names))] == names
+    assert all(n == total[s] and abs(t - goal[s]) <= 1e-9 * max(1, goal[s]) for s, n, t in sources.values())
+    copies = {(r.src, r.block): r.copies for r in mix.used(spark).collect()}
+    first = {(r.src, r.b): r["first"] for r in mix.offsets.collect()}
+    want, blocks, place = {}, {}, {}
+    for r in mix.placed.collect():
+        place[r["__row"]] = r
+        taken = 0
+        for w in range(r.start, r.start + r.size):
+            block = first[r.src, r.b] + w // 8
+            blocks.setdefault(r.src, set()).add(block)
+            taken += copies.get((r.src, block), 0)
+        want[r["__row"]] = taken
+    spans = {}
+    for r in place.values():
+        spans.setdefault((r.src, r.b), []).append((r.start, r.start + r.size))
+    for s in spans.values():  # words of a bucket lie one after the other, none twice
+        s.sort()
+        assert s[0][0] == 0 and all(a[1] == b[0] for a, b in zip(s, s[1:]))
+    for src, b in blocks.items():
+        times = [copies.get((src, i), 0) for i in range(len(b))]
+        assert b == set(range(len(b))) and max(times) - min(times) <= 1 and max(times) <= 3
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.size, r.taken) for r in got) == sorted([(place[k]["__id"] if place[k]["__id"] is not None else -1, place[k].size, v) for k, v in want.items()] + [(i if i is not None else -1, 0, 0) for i, t, _ in rows if not size(t)])
+    hot = next(i for i, s in sources.items() if s[0] == "hot")
+    drawn = sum(v for (src, _), v in copies.items() if src == hot) * 8
+    assert abs(drawn - goal["hot"]) <= 0.05 * goal["hot"] + 64
+    out = mixing.mix_documents(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), block=8, slots=512).collect()
+    words = {}
+    for r in out:
+        words[r.doc_id] = words.get(r.doc_id, 0) + size(r.text)
+    taken = {}
+    for r in got:
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.taken
+    assert words == {k: v for k, v in taken.items() if v}
+    texts = {}
+    for i, t, _ in rows:
+        texts.setdefault(i, set()).update(WORD.findall(t or ""))
+    assert all(set(WORD.findall(r.text)) <= texts[r.doc_id] for r in out)
 
 
 def test_permutation(spark):
