@@ -1,6 +1,7 @@
 """Edge cases and brute force for the operators of the llm subpackage."""
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -671,3 +672,55 @@ def test_resampling(spark):
     assert sum(a == b for a, b in held) >= 0.97 * len(held) and len(got) == 402
     assert all(r.kept for r in classifier.resample(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect())
     assert rows_of(classifier.resample(docs.limit(0), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))) == []
+
+
+def test_resampling_against_brute_force(spark):
+    """Weights from counts in dictionaries, the cut and the k-th value by sorting; with ties, repeated rows, long texts and clashing columns."""
+    rnd = random.Random(16)
+    vocab = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rnd.choice(vocab[: 40 + 20 * (i % 3 == 0)]) + rnd.choice(["", ".", "?!"]) for _ in range(rnd.randint(1, 120))), "h", 1.5) for i in range(200)]
+    rows += [(300, "w1 W2, w59 " * 5000, None, 0.0), (301, None, "x", 0.0), (None, "w1 w2", "x", 0.0), (302, " ", None, None), *[(303, "w3 w59 w3", "x", 1.0)] * 4]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h string, value double").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(150)], "doc_id long, quality int, toxic int")
+    fit = {r[0] for r in labels.where("quality = 1 and xxhash64(1, 2, doc_id) % 2 = 0").select("doc_id").collect()}
+
+    def grams(text):
+        words = [w.lower() for w in WORD.findall(text or "")]
+        words = [w[: max(1, len(w.rstrip(".,;:!?")))] for w in words]
+        return [(w,) for w in words] + list(zip(words, words[1:]))
+
+    def bucket(gram, known={}):
+        if gram not in known:
+            data = np.frombuffer(" ".join(gram).encode(), np.uint8)
+            known[gram] = int(classifier.features(data, np.array([0, len(data)]))[0][len(gram) - 1 if len(gram) == 1 else -1])
+        return known[gram]
+
+    raw, target = {}, {}
+    for i, text, *_ in rows:
+        for g in grams(text):
+            raw[bucket(g)] = raw.get(bucket(g), 0) + 1
+            if i in fit:
+                target[bucket(g)] = target.get(bucket(g), 0) + 1
+    share = sum(target.values()) / sum(raw.values())
+
+    def weight(text):
+        found = [bucket(g) for g in grams(text)]
+
+        def ratio(b):
+            e = raw[b] * share
+            r = math.log((target.get(b, 0) + classifier.PRIOR) / (e + classifier.PRIOR))
+            return math.copysign(max(abs(r) - classifier.DRIFT, 0.0), r) * e / (e + classifier.EVIDENCE)
+
+        return sum(map(ratio, found)) * (classifier.LENGTH / max(len(found), 1)) ** 0.5
+
+    got = classifier.resample(docs, labels).collect()
+    want = {(i, round(weight(t), 4)) for i, t, *_ in rows}
+    assert len(got) == len(rows) and {(r.doc_id, round(r.log_weight, 4)) for r in got} == want
+    assert 0 < sum(r.kept for r in got) < len(rows)
+    for k in (1, 7, 100, 10_000):
+        some = classifier.resample(docs, labels, k=k).collect()
+        assert min(k, len(rows)) <= sum(r.kept for r in some) <= min(k, len(rows)) + 3  # the four equal rows tie
+    values = [rnd.choice([0.0, 1.0, -3.5, rnd.gauss(0, 1) ** 9]) for _ in range(30_000)]
+    df = spark.createDataFrame([(v,) for v in values], "value double")
+    ordered = sorted(values, reverse=True)
+    assert all(classifier.kth_largest(df, k) == ordered[k - 1] for k in (1, 9_000, 15_000, 29_999, 30_000)) and classifier.kth_largest(df, 30_001) is None
