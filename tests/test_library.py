@@ -402,3 +402,41 @@ def test_geohash_and_processing(spark):
         F.size(geo.segmentize(line, 3.0)).alias("n"), geo.line_length(geo.segmentize(line, 3.0)).alias("same"), geo.point_line_distance(line, F.lit(5.0), F.lit(2.0)).alias("d"), geo.hausdorff(line, F.array(geo.point(F.lit(0), F.lit(1)))).alias("h"),
         F.size(geo.boundary(line)).alias("two"), F.size(geo.boundary(geo.make_box(*map(F.lit, (0, 0, 1, 1))))).alias("none"), geo.perimeter(geo.make_box(*map(F.lit, (0, 0, 2, 3)))).alias("p"), geo.dwithin(F.lit(0.0), F.lit(0.0), F.lit(3.0), F.lit(4.0), 5.0).alias("w")).first()
     assert (r.n, r.same, r.d, round(r.h, 6), r.two, r.none, r.p, r.w) == (5, 10.0, 2.0, round(101**0.5, 6), 2, 0, 10.0, True)
+
+
+def test_jdbc(spark):
+    from lattica.sources import jdbc
+
+    url, kind = "jdbc:derby:memory:cities;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    jdbc.create_table(spark, url, "places", {"id": "INT GENERATED BY DEFAULT AS IDENTITY", "name": "VARCHAR(40)", "geom": "BLOB"}, kind)
+    c = cities.table(spark).selectExpr("name as NAME", "encode(name, 'UTF-8') as GEOM").coalesce(1)
+    jdbc.insert(c, url, "places", kind)
+    got = jdbc.table(spark, url, "places", kind, split=("ID", 1, 30, 3))
+    assert got.count() == 26 and {r.ID for r in got.collect()} == set(range(1, 27))
+    some = got.where("ID > 3 and NAME is not null").select("NAME")
+    assert some.count() == 23 and "PushedFilters: [*IsNotNull(ID), *GreaterThan(ID,3)" in some._jdf.queryExecution().toString()
+    assert jdbc.execute(spark, url, "DELETE FROM places WHERE id > 20", properties=kind) == [6]
+    assert jdbc.table(spark, url, "places", kind).count() == 20
+    jdbc.drop_table(spark, url, "places", kind)
+    with pytest.raises(Exception):
+        jdbc.table(spark, url, "places", kind).count()
+
+
+def test_warp_options(spark, cells):
+    from lattica.sources.warp import WarpOptions, WarpSource
+
+    view = array_view(spark, cells, Grid(Extent(0.0, 0.0, 40.0, 24.0), 40, 24))
+    source = WarpSource(view)
+    assert source.dataset_type == "source" and source.reproject(3857) is source and cells_of(source.read()) == cells_of(view.read())
+    small = source.resample(10, 6, "average")
+    assert small.dataset_type == "warped" and small.metadata()["cols"] == 10 and cells_of(small.read()) == cells_of(view.resample(10, 6, "average").read())
+    assert small.resample_to_grid(3.0, 3.0).options.dimensions is None
+    assert small.resample_to_grid(3.0, 3.0).grid() == Grid(Extent(0.0, 0.0, 42.0, 24.0), 14, 8)
+    bytes_ = source.warp(WarpOptions(cell_size=(2.0, 2.0))).convert("int8")
+    assert bytes_.options.dimensions == (20, 12) and bytes_.view().target_type == "uint8" and bytes_.grid().cw == 2.0
+    with pytest.raises(ValueError):
+        source.convert("bit")
+    geo = WarpSource(array_view(spark, cells, Grid(Extent(-5.0, 40.0, 5.0, 46.0), 40, 24), srid=4326)).reproject(3857, "bilinear")
+    assert geo.metadata()["srid"] == 3857 and geo.metadata()["dataset"] == "warped" and geo.read().count() > 0
+    noted = WarpSource(view).warp(WarpOptions(nodata=float(cells[0, 0, 0])))
+    assert noted.view().nodata == cells[0, 0, 0] and noted.dataset_type == "warped"
