@@ -47,7 +47,7 @@ STAGES = [
     ("byte-level BPE", encode_bytes),
 ]
 
-#: The perplexity model, the MinHash bands and the seeded mix are beyond SQL; tests hold the stages against brute force.
+#: The perplexity model, the MinHash bands and the seeded mix are beyond SQL; tests/llm/test_pipeline.py holds every stage against brute force.
 ORACLE_SQL = None
 
 
