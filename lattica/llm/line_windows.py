@@ -52,9 +52,11 @@ def dedup_lines(docs: DataFrame, counts: bool = False) -> DataFrame:
     lines = F.split("text", "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone")
     kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
-    new = {"text": F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)}
+    # a column of its own: inside a lambda a name means the alias of the same select before the column
+    out = out.withColumn("__kept", F.when(F.col("__gone").isNotNull(), kept))
+    new = {"text": F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.col("__kept"))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length(kept)).cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("__kept")).cast(docs.schema["n_chars"].dataType)
     if counts:
         new |= {"n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")}
     extra = [c for c in ("n_lines", "n_removed") if counts and c not in docs.columns]
