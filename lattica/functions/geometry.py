@@ -30,7 +30,8 @@ def line_length(points: Column) -> Column:
 
 def ring_area(points: Column) -> Column:
     """Unsigned area of a closed ring (shoelace)."""
-    term = lambda i: points[i]["x"] * points[i + 1]["y"] - points[i + 1]["x"] * points[i]["y"]
+    at = lambda i: F.get(points, i)
+    term = lambda i: at(i)["x"] * at(i + 1)["y"] - at(i + 1)["x"] * at(i)["y"]
     return F.abs(F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(points) - 2, F.lit(0))), F.lit(0.0), lambda s, i: s + F.coalesce(term(i), F.lit(0.0)))) / 2
 
 

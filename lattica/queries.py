@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .functions import crs, geometry as geo, grid as g, wkb
+from .functions import crs, geometry as geo, grid as g, shapes, wkb
 from .operators import convert, mosaic, resample, vector
 from .plans.view import SIDE, MosaicView, RasterView, explode_tiles, map_cells
 from .sources import cities, geotiff, tables
+from .sources.warp import WarpOptions, WarpSource
 from .types import Bounds, Extent, Grid
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -803,3 +804,117 @@ def line_accessors(spark, sf_dir):
 def point_markup(spark, sf_dir):
     p = tables.points(spark, sf_dir).where("x is not null and y <> 0")
     return p.select("id", geo.as_svg(F.col("x"), F.col("y")).alias("svg"), geo.as_kml(F.col("x"), F.col("y")).alias("kml"))
+
+
+# ---- shapes: relations, measures and processing ------------------------------------------------
+
+#: Lines of three points for each customer on a lattice, and the box they are held against.
+_PATHS = """k AS (SELECT c_custkey AS id FROM customer),
+corners AS (SELECT id, 1 AS i, id * 7 % 40 + 0e0 AS x, id * 11 % 37 + 0e0 AS y FROM k UNION ALL SELECT id, 2, id * 13 % 41 + 0e0, id * 17 % 40 + 0e0 FROM k UNION ALL SELECT id, 3, id * 19 % 23 + 0e0, id * 23 % 43 + 0e0 FROM k),
+steps AS (SELECT a.id, a.i, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y, b.x - a.x AS dx, b.y - a.y AS dy FROM corners a JOIN corners b ON a.id = b.id AND b.i = a.i + 1)"""
+
+
+def _paths(spark, sf_dir, closed: bool = False) -> DataFrame:
+    k = F.col("c_custkey")
+    at = [geo.point(k * a % m, k * b % n) for a, m, b, n in ((7, 40, 11, 37), (13, 41, 17, 40), (19, 23, 23, 43))]
+    fourth = [geo.point(k * 29 % 31, k * 31 % 29), at[0]] if closed else []
+    return tables.table(spark, sf_dir, "customer").select(k.alias("id"), geo.make_line(*at, *fourth).alias("points"))
+
+
+def _box(x0: float, y0: float, x1: float, y1: float):
+    return geo.make_box(*map(F.lit, (x0, y0, x1, y1)))
+
+
+@query(f"""WITH {_PATHS}, clipped AS (SELECT *, dx <> 0 OR dy <> 0 AS moves, ax < 10 OR ax > 30 OR ay < 10 OR ay > 30 OR bx < 10 OR bx > 30 OR b_y < 10 OR b_y > 30 AS outside,
+CASE WHEN dx <> 0 THEN least((10 - ax) / dx, (30 - ax) / dx) WHEN ax BETWEEN 10 AND 30 THEN -1e9 ELSE 1e9 END AS x0, CASE WHEN dx <> 0 THEN greatest((10 - ax) / dx, (30 - ax) / dx) WHEN ax BETWEEN 10 AND 30 THEN 1e9 ELSE -1e9 END AS x1,
+CASE WHEN dy <> 0 THEN least((10 - ay) / dy, (30 - ay) / dy) WHEN ay BETWEEN 10 AND 30 THEN -1e9 ELSE 1e9 END AS y0, CASE WHEN dy <> 0 THEN greatest((10 - ay) / dy, (30 - ay) / dy) WHEN ay BETWEEN 10 AND 30 THEN 1e9 ELSE -1e9 END AS y1 FROM steps),
+ranged AS (SELECT id, outside, greatest(x0, y0, 0) AS t0, least(x1, y1, 1) AS t1, moves AND (dx <> 0 OR (ax > 10 AND ax < 30)) AND (dy <> 0 OR (ay > 10 AND ay < 30)) AS through FROM clipped),
+told AS (SELECT id, bool_or(through AND t0 < t1 - 1e-11) AS inside, bool_or(outside) AS outside, bool_or(t0 <= t1 + 1e-11) AS meets FROM ranged GROUP BY id)
+SELECT id, NOT meets AS disjoint, meets AS intersects, inside AND outside AS crosses, meets AND NOT inside AS touches, inside AND NOT outside AS within, NOT outside AS covered FROM told""")
+def line_box_relations(spark, sf_dir):
+    return _paths(spark, sf_dir).select("id", shapes.line_in_ring(F.col("points"), _box(10.0, 10.0, 30.0, 30.0)).alias("told")).select("id", "told.*")
+
+
+_RECTS = """b AS (SELECT s_suppkey AS id, s_suppkey * 7 % 30 + 0e0 AS x0, s_suppkey * 11 % 30 + 0e0 AS y0, s_suppkey * 7 % 30 + 1 + s_suppkey * 5 % 21 + 0e0 AS x1, s_suppkey * 11 % 30 + 1 + s_suppkey * 3 % 19 + 0e0 AS y1 FROM supplier
+UNION ALL SELECT * FROM (VALUES (-1, 10e0, 10e0, 20e0, 20e0), (-2, 12e0, 12e0, 15e0, 20e0), (-3, 20e0, 20e0, 25e0, 25e0), (-4, 5e0, 5e0, 30e0, 20e0)))"""
+
+
+def _rects(spark, sf_dir) -> DataFrame:
+    k = F.col("s_suppkey")
+    x, y = k * 7 % 30, k * 11 % 30
+    own = tables.table(spark, sf_dir, "supplier").select(k.cast("long").alias("id"), *[c.cast("double").alias(n) for n, c in (("x0", x), ("y0", y), ("x1", x + 1 + k * 5 % 21), ("y1", y + 1 + k * 3 % 19))])
+    more = spark.createDataFrame([(-1, 10.0, 10.0, 20.0, 20.0), (-2, 12.0, 12.0, 15.0, 20.0), (-3, 20.0, 20.0, 25.0, 25.0), (-4, 5.0, 5.0, 30.0, 20.0)], own.schema)
+    return own.unionByName(more).select("id", geo.make_box(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("ring"))
+
+
+@query(f"""WITH {_RECTS}, told AS (SELECT id, x0 <= 20 AND x1 >= 10 AND y0 <= 20 AND y1 >= 10 AS meets, x0 < 20 AND x1 > 10 AND y0 < 20 AND y1 > 10 AS interior, x0 <= 10 AND y0 <= 10 AND x1 >= 20 AND y1 >= 20 AS covers, x0 >= 10 AND y0 >= 10 AND x1 <= 20 AND y1 <= 20 AS within FROM b)
+SELECT id, NOT meets AS disjoint, meets AS intersects, meets AND NOT interior AS touches, interior AND NOT covers AND NOT within AS overlaps, covers AND within AS equals, covers, within FROM told""")
+def ring_relations(spark, sf_dir):
+    return _rects(spark, sf_dir).select("id", shapes.ring_in_ring(F.col("ring"), _box(10.0, 10.0, 20.0, 20.0)).alias("told")).select("id", "told.*")
+
+
+@query(f"""WITH {_RECTS}, a AS (SELECT id, (x1 - x0) * (y1 - y0) AS own, greatest(least(x1, 20) - greatest(x0, 10), 0e0) * greatest(least(y1, 20) - greatest(y0, 10), 0e0) AS shared FROM b)
+SELECT id, own AS area, shared AS shared_area, own + 100 - shared AS union_area, own - shared AS left_area FROM a""")
+def ring_overlay_areas(spark, sf_dir):
+    corners = [tuple(map(F.lit, c)) for c in ((10.0, 10.0), (20.0, 10.0), (20.0, 20.0), (10.0, 20.0))]
+    areas = _rects(spark, sf_dir).select("id", geo.ring_area(F.col("ring")).alias("area"), geo.ring_area(shapes.clip(F.col("ring"), corners)).alias("shared_area"))
+    return areas.select("id", "area", "shared_area", (F.col("area") + 100 - F.col("shared_area")).alias("union_area"), (F.col("area") - F.col("shared_area")).alias("left_area"))
+
+
+@query(f"""WITH {_LINES}, whole AS (SELECT DISTINCT id, round(x * 10) AS x, round(y * 10) AS y FROM pts),
+edges AS (SELECT p.id, p.x AS ax, p.y AS ay, q.x AS bx, q.y AS b_y FROM whole p JOIN whole q ON p.id = q.id AND (p.x <> q.x OR p.y <> q.y)),
+judged AS (SELECT e.* FROM edges e JOIN whole r USING (id) GROUP BY ALL HAVING min((bx - ax) * (r.y - ay) - (b_y - ay) * (r.x - ax)) >= 0 AND max((bx - ax) * (r.y - ay) - (b_y - ay) * (r.x - ax)) > 0
+AND count(*) FILTER ((bx - ax) * (r.y - ay) = (b_y - ay) * (r.x - ax) AND ((r.x - ax) * (bx - ax) + (r.y - ay) * (b_y - ay) < 0 OR (r.x - bx) * (ax - bx) + (r.y - b_y) * (ay - b_y) < 0)) = 0)
+SELECT id, count(*) AS corners, round(sum(sqrt((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay))), 6) AS perimeter, abs(sum(ax * b_y - bx * ay)) / 2 AS area FROM judged GROUP BY id""")
+def line_hull(spark, sf_dir):
+    lattice = F.transform("points", lambda p: geo.point(F.round(p["x"] * 10), F.round(p["y"] * 10)))
+    hull = _lines(spark, sf_dir).select("id", shapes.convex_hull(lattice).alias("hull")).where(F.size("hull") > 3)
+    h = F.col("hull")
+    return hull.select("id", (geo.n_points(h) - 1).alias("corners"), F.round(geo.perimeter(h), 6).alias("perimeter"), geo.ring_area(h).alias("area"))
+
+
+@query(f"""WITH {_PATHS}, feet AS (SELECT *, CASE WHEN dx = 0 AND dy = 0 THEN 0e0 ELSE greatest(0e0, least(1e0, ((21.5 - ax) * dx + (50.25 - ay) * dy) / nullif(dx * dx + dy * dy, 0))) END AS u FROM steps),
+away AS (SELECT id, round(ax + u * dx, 9) + 0e0 AS x, round(ay + u * dy, 9) + 0e0 AS y, round(sqrt(power(ax + u * dx - 21.5, 2) + power(ay + u * dy - 50.25, 2)), 9) AS d FROM feet)
+SELECT id, arg_min(x, d) AS x, arg_min(y, d) AS y, min(d) AS d FROM away GROUP BY id""")
+def closest_points(spark, sf_dir):
+    best = _paths(spark, sf_dir).select("id", shapes.shortest_line(F.col("points"), F.lit(21.5), F.lit(50.25)).alias("line"))
+    first = F.get("line", F.lit(0))
+    return best.select("id", (F.round(first["x"], 9) + F.lit(0.0)).alias("x"), (F.round(first["y"], 9) + F.lit(0.0)).alias("y"), F.round(geo.line_length(F.col("line")), 9).alias("d"))
+
+
+@query(f"""WITH {_PATHS}, four AS (SELECT * FROM corners UNION ALL SELECT id, 4, id * 29 % 31 + 0e0, id * 31 % 29 + 0e0 FROM k),
+s AS (SELECT a.id, a.i, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y FROM four a JOIN four b ON a.id = b.id AND b.i = a.i % 4 + 1),
+turns AS (SELECT p.id, q.i - p.i = 2 AS opposite, p.i + 1 = q.i AS ahead, (p.bx - p.ax) * (q.ay - p.ay) - (p.b_y - p.ay) * (q.ax - p.ax) AS t1, (p.bx - p.ax) * (q.b_y - p.ay) - (p.b_y - p.ay) * (q.bx - p.ax) AS t2,
+(q.bx - q.ax) * (p.ay - q.ay) - (q.b_y - q.ay) * (p.ax - q.ax) AS t3, (q.bx - q.ax) * (p.b_y - q.ay) - (q.b_y - q.ay) * (p.bx - q.ax) AS t4,
+q.ax BETWEEN least(p.ax, p.bx) AND greatest(p.ax, p.bx) AND q.ay BETWEEN least(p.ay, p.b_y) AND greatest(p.ay, p.b_y) AS w1, q.bx BETWEEN least(p.ax, p.bx) AND greatest(p.ax, p.bx) AND q.b_y BETWEEN least(p.ay, p.b_y) AND greatest(p.ay, p.b_y) AS w2,
+p.ax BETWEEN least(q.ax, q.bx) AND greatest(q.ax, q.bx) AND p.ay BETWEEN least(q.ay, q.b_y) AND greatest(q.ay, q.b_y) AS w3, p.bx BETWEEN least(q.ax, q.bx) AND greatest(q.ax, q.bx) AND p.b_y BETWEEN least(q.ay, q.b_y) AND greatest(q.ay, q.b_y) AS w4,
+(p.ax - p.bx) * (q.bx - q.ax) + (p.ay - p.b_y) * (q.b_y - q.ay) AS fold_ahead, (q.ax - q.bx) * (p.bx - p.ax) + (q.ay - q.b_y) * (p.b_y - p.ay) AS fold_back FROM s p JOIN s q ON p.id = q.id AND p.i < q.i)
+SELECT id, NOT bool_or(CASE WHEN opposite THEN sign(t1) * sign(t2) < 0 AND sign(t3) * sign(t4) < 0 OR (t1 = 0 AND w1) OR (t2 = 0 AND w2) OR (t3 = 0 AND w3) OR (t4 = 0 AND w4)
+WHEN ahead THEN t2 = 0 AND fold_ahead > 0 ELSE t1 = 0 AND fold_back > 0 END) AS valid, 1 AS rings, 2 AS dim FROM turns GROUP BY id""")
+def ring_validity(spark, sf_dir):
+    paths = _paths(spark, sf_dir, closed=True)
+    p = F.col("points")
+    return paths.select("id", shapes.is_valid_ring(p).alias("valid"), shapes.n_rings(shapes.make_polygon(p)).cast("int").alias("rings"), shapes.dimension(F.lit("POLYGON")).alias("dim"))
+
+
+@query(f"""WITH {_LINES}, near AS (SELECT id, event_id, floor(x / 25 + 0.5) * 25 AS x, floor(y / 25 + 0.5) * 25 AS y FROM pts),
+runs AS (SELECT *, lag(x) OVER w IS DISTINCT FROM x OR lag(y) OVER w IS DISTINCT FROM y AS new FROM near WINDOW w AS (PARTITION BY id ORDER BY event_id))
+SELECT id, count(*) AS n_points, sum(x) AS sx, sum(y) AS sy FROM runs WHERE new GROUP BY id""")
+def line_snap(spark, sf_dir):
+    total = lambda k: F.aggregate("points", F.lit(0.0), lambda t, p: t + p[k])
+    return _lines(spark, sf_dir).select("id", shapes.snap(F.col("points"), 25.0).alias("points")).select("id", geo.n_points(F.col("points")).alias("n_points"), total("x").alias("sx"), total("y").alias("sy"))
+
+
+@query(f"""WITH {POINTS} SELECT id, 33 AS n_points, round(16 * 9 * sin(2 * pi() / 32), 6) AS area, round(x - 3, 6) + 0e0 AS xmin, round(y + 3, 6) + 0e0 AS ymax FROM pts WHERE x IS NOT NULL""")
+def point_buffer(spark, sf_dir):
+    rings = tables.points(spark, sf_dir).where("x is not null").select("id", shapes.buffer_point(F.col("x"), F.col("y"), 3.0).alias("ring"))
+    box = geo.envelope(F.col("ring"))
+    return rings.select("id", F.size("ring").alias("n_points"), F.round(geo.ring_area(F.col("ring")), 6).alias("area"), (F.round(box["xmin"], 6) + F.lit(0.0)).alias("xmin"), (F.round(box["ymax"], 6) + F.lit(0.0)).alias("ymax"))
+
+
+@query(f"""WITH {BASE}, {_nearest_sql('SELECT 80 AS tcols, ceil(rows / 2.5e0)::BIGINT AS trows, 0e0 AS tx, ceil(rows / 2.5e0) * 2.5e0 AS ty, 2.5e0 AS tcw, 2.5e0 AS tch FROM dims', 'band1')}
+SELECT 1 AS band, tc.c AS col_idx, tc.r AS row_idx, least(255e0, greatest(0e0, floor(value + 0.5))) AS value FROM tc LEFT JOIN band1 USING (col_idx, row_idx)""")
+def warp_read(spark, sf_dir):
+    """A source with warp options in two steps: cell size, aligned, then bytes without sign on the same grid."""
+    source = WarpSource(raster(spark, sf_dir, 2)).warp(WarpOptions(cell_size=(2.5, 2.5), aligned=True))
+    return source.convert("int8").read(bands=(1,))
