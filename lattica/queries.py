@@ -593,7 +593,10 @@ def _file(spark, sf_dir, **layout) -> RasterView:
     """A view of a GeoTIFF of the raster's upper left corner (two bands, one overview), a bounded image that is written first."""
     import tempfile
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lattica-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    folder = folder or "file://" + tempfile.mkdtemp(prefix="lattica-")
     cells = raster(spark, sf_dir, 2).read(bounds=Bounds(0, 0, FILE_COLS - 1, FILE_ROWS - 1)).toPandas()
     image = np.zeros((2, FILE_ROWS, FILE_COLS), np.float64)
     image[cells["band"], cells["row_idx"], cells["col_idx"]] = cells["value"]
