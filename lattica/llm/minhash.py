@@ -211,9 +211,10 @@ def open_pairs(rest: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     that were changed each in its own way no keys meet, and a shingle of the whole family is no key at all.
     """
     diff = differences(rest, docs)
-    often = diff.groupBy("hub", "shingle").agg(F.count("*").alias("often"))
+    # written: the plan of the differences is a large one, and not to be twice in the next
+    often = written(diff.groupBy("hub", "shingle").agg(F.count("*").alias("often")).where("often > 1"), "often")
     mine = Window.partitionBy("hub", "node")
-    listed = diff.join(often.where("often > 1"), ["hub", "shingle"], "left").withColumn("often", F.coalesce("often", F.lit(1)))
+    listed = diff.join(often, ["hub", "shingle"], "left").withColumn("often", F.coalesce("often", F.lit(1)))
     listed = listed.withColumns({"rank": F.row_number().over(mine.orderBy("often", "shingle")), "n": F.count("*").over(mine)}).where("often > 1")
     # w in units of 1 / (100 + percent), so that all is integer
     own = rest.select("hub", "node", "size", "hub_size", "c", "hub_c")

@@ -14,7 +14,9 @@ and every running sum goes over buckets, then over groups of buckets, so a
 source with a third of all rows is never in one task. Sources may be as many as
 hosts: they are a table, numbered by a distributed sort; targets come from
 rounds of sums over it, and drawn slots find their source by a join on cells of
-the cumulative weights. The driver holds sums only.
+the cumulative weights. The driver holds sums only. Tables of buckets, shards
+and blocks are written on the way: each is read more than once, and one plan of
+all of it takes the driver's memory each time it is planned anew.
 
 Nulls: a null source is a source (the last); a null or empty text has size 0,
 is packed nowhere and is taken 0 times; a null id is kept. Repeated rows are
@@ -109,8 +111,8 @@ class Mix:
         packed = self.sized.where("size > 0")
         place = Window.partitionBy("src", "b").orderBy("__id", "size", "__text", "__row")
         self.placed = packed.withColumn("start", F.sum("size").over(place) - F.col("size"))
-        stock = packed.groupBy("src", "b").agg(F.ceil(F.sum("size") / block).alias("n"))
-        self.offsets = running(stock, "src", "b", "n", "first")
+        stock = written(packed.groupBy("src", "b").agg(F.ceil(F.sum("size") / block).alias("n")), "stock")
+        self.offsets = written(running(stock, "src", "b", "n", "first").select("src", "b", "first"), "offsets")
         blocks = stock.groupBy("src").agg(F.sum("n").alias("blocks"))
         self.expected = written(blocks.join(self.sources, "src").select("src", "blocks", (F.col("target") * F.col("blocks") / F.col("source_size")).alias("q")), "expected")
 
@@ -139,19 +141,19 @@ class Mix:
             draws = shards.where(F.col("tail") == tail).select("shard", F.explode(F.sequence(F.lit(1), F.lit(left))).alias("t"))
             draws = draws.select("shard", F.floor(unit(F.lit(self.seed), F.col("shard"), F.col("t")) * F.lit(float(weight))).alias("at")).withColumn("cell", F.floor(F.col("at") / F.lit(width)))
             counts = counts.unionByName(draws.join(cells, "cell").where("at >= before and at < before + part").select("shard", "src", F.lit(1).cast("long").alias("n")))
-        counts = running(counts.groupBy("src", "shard").agg(F.sum("n").alias("n")), "src", "shard", "n", "k0")
+        counts = running(written(counts.groupBy("src", "shard").agg(F.sum("n").alias("n")), "counts"), "src", "shard", "n", "k0")
         # few rows that grow by the slots of a shard each: dealt to all tasks before they do
         counts = counts.where("n > 0").select("src", "shard", "n", "k0").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "src", "shard")
         slots = counts.join(self.expected.select("src", "blocks"), "src").select("src", "blocks", F.explode(F.sequence(F.col("k0"), F.col("k0") + F.col("n") - 1)).alias("k"))
         slots = slots.where(F.col("k") < self.cap * F.col("blocks"))  # never a block more often than the cap
         turn = F.floor(F.col("k") / F.col("blocks"))
         index = permuted(F.pmod("k", "blocks"), F.col("blocks"), F.lit(self.seed), F.col("src"), turn)
-        return slots.select("src", index.alias("block")).groupBy("src", "block").agg(F.count("*").alias("copies"))
+        return written(slots.select("src", index.alias("block")).groupBy("src", "block").agg(F.count("*").alias("copies")), "used")
 
     def pieces(self) -> DataFrame:
         """The parts of rows that lie in taken blocks: ``sized`` columns, ``at`` (first word), ``words`` and ``copies``."""
         b = F.lit(self.block)
-        parts = self.placed.join(self.offsets.select("src", "b", "first"), ["src", "b"]).withColumn(
+        parts = self.placed.join(self.offsets, ["src", "b"]).withColumn(
             "piece", F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b))))
         begin = F.greatest(F.col("start"), F.col("piece") * b)
         end = F.least(F.col("start") + F.col("size"), (F.col("piece") + 1) * b)

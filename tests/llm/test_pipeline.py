@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 from lattica.llm import bpe, perplexity, queries
 from pyspark.sql import functions as F
+from pyspark.sql.readwriter import DataFrameWriter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -210,3 +211,18 @@ def test_whole_run(spark, tmp_path, stages):
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert got.columns == [*SCHEMA.replace(" long", "").replace(" string", "").split(", "), "n_tokens", "token_ids"]
     assert got.agg(F.sum("n_tokens")).first()[0] > 0 and got.count() >= 100
+
+
+def test_no_large_plan(spark, tmp_path, monkeypatch):
+    """No stage plans all of its tables at once: the driver holds each plan several times, and plans it anew for each of its exchanges."""
+    plain, nodes = DataFrameWriter.parquet, {}
+
+    def parquet(self, path, *args, **kw):
+        nodes[path] = self._df._jdf.queryExecution().optimizedPlan().toString().count("\n")
+        return plain(self, path, *args, **kw)
+
+    spark.createDataFrame(corpus(), SCHEMA).repartition(3).write.parquet(f"{tmp_path}/0")
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    for i, (_, function) in enumerate(corpus_pipeline.STAGES, 1):
+        function(spark, spark.read.parquet(f"{tmp_path}/{i - 1}"), "").write.parquet(f"{tmp_path}/{i}")
+    assert len(nodes) > 40 and max(nodes.values()) < 70, {p: n for p, n in nodes.items() if n >= 70}
