@@ -153,12 +153,13 @@ class Mix:
     def pieces(self) -> DataFrame:
         """The parts of rows that lie in taken blocks: ``sized`` columns, ``at`` (first word), ``words`` and ``copies``."""
         b = F.lit(self.block)
-        parts = self.placed.join(self.offsets, ["src", "b"]).withColumn(
+        # both tables grow with the rows and take far less as files than in memory: never broadcast by the size of their files
+        parts = self.placed.join(self.offsets.hint("merge"), ["src", "b"]).withColumn(
             "piece", F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b))))
         begin = F.greatest(F.col("start"), F.col("piece") * b)
         end = F.least(F.col("start") + F.col("size"), (F.col("piece") + 1) * b)
         parts = parts.withColumns({"at": begin - F.col("start"), "words": end - begin, "block": F.col("first") + F.col("piece")})
-        return parts.join(self.used(self.sized.sparkSession), ["src", "block"])
+        return parts.join(self.used(self.sized.sparkSession).hint("merge"), ["src", "block"])
 
     def taken(self) -> DataFrame:
         """A row for each row of ``docs``: doc_id, size, source_size, target, taken."""

@@ -8,7 +8,7 @@ from collections import Counter
 import corpus_pipeline
 import public_tokenizers
 import pytest
-from lattica.llm import bpe, perplexity, queries
+from lattica.llm import bpe, mixing, perplexity, queries
 from pyspark.sql import functions as F
 from pyspark.sql.readwriter import DataFrameWriter
 
@@ -226,3 +226,11 @@ def test_no_large_plan(spark, tmp_path, monkeypatch):
     for i, (_, function) in enumerate(corpus_pipeline.STAGES, 1):
         function(spark, spark.read.parquet(f"{tmp_path}/{i - 1}"), "").write.parquet(f"{tmp_path}/{i}")
     assert len(nodes) > 40 and max(nodes.values()) < 70, {p: n for p, n in nodes.items() if n >= 70}
+
+
+def test_mix_broadcasts_no_blocks(spark, tmp_path):
+    """Taken blocks and buckets grow with the rows and are small as files: their joins are no broadcasts, however small the files."""
+    spark.createDataFrame(corpus(), SCHEMA).write.parquet(f"{tmp_path}/0")
+    plan = mixing.Mix(spark.read.parquet(f"{tmp_path}/0"), block=8).pieces()._jdf.queryExecution().executedPlan().toString()
+    joins = re.findall(r"(\w+Join) \[src#\w+, (b|block)#", plan)
+    assert sorted(joins) == [("SortMergeJoin", "b"), ("SortMergeJoin", "block")]
