@@ -49,6 +49,8 @@ class RasterView:
     target_type: str | None = None
     method: str = "nearest"
     exact_region: bool = False
+    #: What a cell without a value is read as; None leaves it null.
+    missing: float | None = None
 
     # -- metadata, without a look at any cell ----------------------------------
 
@@ -150,7 +152,11 @@ class RasterView:
             out = self._moved(source, grid, bounds)
             if self.exact_region:
                 out = resample.fill_region(out, self.target, bands, bounds)
-        return convert.convert(out, self.target_type) if self.target_type else out
+        return self._typed(out)
+
+    def _typed(self, cells: DataFrame) -> DataFrame:
+        out = convert.convert(cells, self.target_type) if self.target_type else cells
+        return out if self.missing is None else out.withColumn("value", F.coalesce("value", F.lit(self.missing)))
 
     def _level(self) -> tuple[Grid, Callable]:
         """Grid and tiles of the overview that the target's cells call for, brought back to the source's SRID first."""
@@ -233,7 +239,7 @@ class RasterView:
                 every = w.select("*", F.explode(F.array(*map(F.lit, bands))).alias("band"), F.explode(F.sequence("col_min", "col_max")).alias("col_idx")).withColumn("row_idx", F.explode(F.sequence("row_min", "row_max")))
                 cells = every.join(cells.select("window_id", "band", "col_idx", "row_idx", "value"), ["window_id", "band", "col_idx", "row_idx"], "left")
         cells = cells.where("col_idx between col_min and col_max and row_idx between row_min and row_max").select("window_id", "band", "col_idx", "row_idx", "value")
-        return convert.convert(cells, self.target_type) if self.target_type else cells
+        return self._typed(cells)
 
 
 @dataclass(frozen=True)

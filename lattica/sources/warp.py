@@ -3,7 +3,8 @@
 A source without options is the file as it is ("source"); with options it is a
 warped data set, which here is a plan over the view: no pixel is moved before a
 read. Options that are set later win over earlier ones, as when option lists
-are joined. A conversion fixes the dimensions that the data set has by then.
+are joined. A conversion fixes the grid that the data set has by then. Integer
+cells have no value for what is missing: without a NoData value it is 0.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from dataclasses import dataclass, fields, replace
 
 from ..operators import resample
 from ..plans.view import RasterView
-from ..types import CELL_TYPES, Extent, Grid, GridError
+from ..types import CELL_RANGE, CELL_TYPES, Extent, Grid, GridError
 
 #: Names by which methods are known to warp tools.
 METHODS = {"near": "nearest", "nearest": "nearest", "bilinear": "bilinear", "average": "average", "sum": "sum", "min": "min", "max": "max", "mode": "mode", "med": "median", "median": "median"}
@@ -81,6 +82,8 @@ class WarpSource:
             view = view.resample_to_region(grid, method)
         if o.cell_type:
             view = view.convert("uint8" if o.cell_type == "int8" else o.cell_type)  # a byte has no sign there
+            if o.cell_type in CELL_RANGE and view.nodata is None:
+                view = replace(view, missing=0.0)
         return view
 
     # -- transforms: new options, nothing read ---------------------------------------
@@ -89,7 +92,10 @@ class WarpSource:
         return replace(self, options=self.options.combine(later))
 
     def reproject(self, srid: int, method: str = "near") -> WarpSource:
-        return self if srid == (self.options.srid or self.base.crs) else self.warp(WarpOptions(srid=srid, method=method))
+        own, extent = self.options.srid or self.base.crs, self.options.extent
+        if srid == own:
+            return self
+        return self.warp(WarpOptions(srid=srid, extent=extent and resample.reprojected_extent(extent, own, srid), method=method))
 
     def resample(self, cols: int, rows: int, method: str = "near") -> WarpSource:
         return self.warp(WarpOptions(dimensions=(cols, rows), method=method))
@@ -104,7 +110,8 @@ class WarpSource:
         if cell_type == "bit" or cell_type not in CELL_TYPES:
             raise ValueError(f"{cell_type} cells are not supported")
         grid = self.grid()
-        return self.warp(WarpOptions(cell_type=cell_type, dimensions=(grid.cols, grid.rows)))
+        extent = grid.extent if self.options.aligned else None  # dimensions alone would stretch aligned cells over the extent before
+        return self.warp(WarpOptions(cell_type=cell_type, extent=extent, dimensions=(grid.cols, grid.rows)))
 
     def metadata(self) -> dict:
         return self.view().metadata() | {"dataset": self.dataset_type}

@@ -440,3 +440,22 @@ def test_warp_options(spark, cells):
     assert geo.metadata()["srid"] == 3857 and geo.metadata()["dataset"] == "warped" and geo.read().count() > 0
     noted = WarpSource(view).warp(WarpOptions(nodata=float(cells[0, 0, 0])))
     assert noted.view().nodata == cells[0, 0, 0] and noted.dataset_type == "warped"
+
+
+def test_converted_warp_keeps_its_aligned_grid(spark, cells):
+    from lattica.sources.warp import WarpOptions, WarpSource
+
+    grid = Grid(Extent(0.0, 0.0, 40.0, 24.0), 40, 24)
+    source = WarpSource(array_view(spark, cells, grid)).warp(WarpOptions(cell_size=(5.0, 7.0), aligned=True))
+    bytes_, region = source.convert("int8"), Grid(Extent(0.0, 0.0, 40.0, 28.0), 8, 4)
+    assert source.grid() == bytes_.grid() == region  # 24 is no multiple of 7: the region ends above the raster
+    want = {k: min(255.0, max(0.0, v)) for k, v in brute_nearest(cells, grid, region).items()}
+    assert len(want) == 2 * 8 * 3
+    want |= {(b, c, 0): 0.0 for b in range(2) for c in range(8)}  # bytes without a NoData value are 0 where nothing is
+    assert cells_of(bytes_.read()) == want
+    assert cells_of(bytes_.read(bounds=Bounds(2, 0, 3, 1), bands=(1,))) == {k: v for k, v in want.items() if k[0] == 1 and k[1] in (2, 3) and k[2] < 2}
+    windows = spark.createDataFrame([(1, 0, 0, 1, 1)], "window_id long, col_min long, row_min long, col_max long, row_max long")
+    assert cells_of(bytes_.view().read_many(windows, (0,))) == {k: v for k, v in want.items() if k[0] == 0 and k[1] < 2 and k[2] < 2}
+    assert cells_of(source.read())[0, 0, 0] is None and cells_of(bytes_.warp(WarpOptions(nodata=-999.0)).read())[0, 0, 0] is None
+    moved = WarpSource(array_view(spark, cells, Grid(Extent(-5.0, 40.0, 5.0, 46.0), 40, 24), srid=4326)).warp(WarpOptions(cell_size=(3.0, 4.0), aligned=True)).convert("int16").reproject(3857)
+    assert moved.grid() == Grid(resample.reprojected_extent(Extent(-6.0, 40.0, 6.0, 48.0), 4326, 3857), 4, 2)
