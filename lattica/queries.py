@@ -336,7 +336,8 @@ def resample_max(spark, sf_dir):
 SELECT band, col_idx, row_idx, value FROM n QUALIFY row_number() OVER (PARTITION BY band, col_idx, row_idx ORDER BY n DESC, value) = 1""")
 def resample_mode(spark, sf_dir):
     view = raster(spark, sf_dir, 2)
-    return view.resample(view.grid.cols // 5, view.grid.rows // 5, "mode").read(bands=(1,))
+    top = view.grid.extent.ymax  # blocks of 5x5 from the top, the last row of them lower where rows are left over
+    return view.resample_to_grid(Grid(Extent(0.0, top - 5.0, 5.0, top), 1, 1), "mode").read(bands=(1,))
 
 
 @query(f"""WITH {BASE}, tc AS (SELECT c, r, (c + 0.5) * 2.5e0 - 0.5 AS u, (r + 0.5) * (rows / 60e0) - 0.5 AS v FROM dims, range(0, 80) a(c), range(0, 60) b(r)),

@@ -459,3 +459,18 @@ def test_converted_warp_keeps_its_aligned_grid(spark, cells):
     assert cells_of(source.read())[0, 0, 0] is None and cells_of(bytes_.warp(WarpOptions(nodata=-999.0)).read())[0, 0, 0] is None
     moved = WarpSource(array_view(spark, cells, Grid(Extent(-5.0, 40.0, 5.0, 46.0), 40, 24), srid=4326)).warp(WarpOptions(cell_size=(3.0, 4.0), aligned=True)).convert("int16").reproject(3857)
     assert moved.grid() == Grid(resample.reprojected_extent(Extent(-6.0, 40.0, 6.0, 48.0), 4326, 3857), 4, 2)
+
+
+def test_mode_of_blocks_with_rows_left_over(spark, tmp_path):
+    from collections import Counter
+
+    from lattica import queries
+
+    labels = [random.Random(i).randrange(4) for i in range(50)]  # 16 rows of cells: three blocks of 5 and one row
+    spark.createDataFrame([(i, [0.0] * 64, v) for i, v in enumerate(labels)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    blocks = {}
+    for r in range(16):
+        for c in range(200):
+            blocks.setdefault((1, c // 5, r // 5), []).append(labels[r // 8 * 25 + c // 8])
+    want = {k: float(min(Counter(v).items(), key=lambda e: (-e[1], e[0]))[0]) for k, v in blocks.items()}
+    assert len(want) == 160 and cells_of(queries.QUERIES["resample_mode"](spark, str(tmp_path))) == want
