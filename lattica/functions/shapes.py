@@ -201,22 +201,25 @@ def relate_line_ring(points: Column, ring: Column) -> Column:
 
 # ---- measures ------------------------------------------------------------------------
 
-def closest_point(points: Column, x: Column, y: Column) -> Column:
-    """The line's point that is nearest to (x, y); of equally near ones that with the least x, then y."""
-    def foot(s):
+def closest_point(points: Column, x: Column, y: Column, digits: int | None = None) -> Column:
+    """The line's point that is nearest to (x, y); of equally near ones the first along the line. With ``digits`` distances are equal that agree to so many decimals."""
+    near = lambda px, py: distance(px, py, x, y) if digits is None else F.round(distance(px, py, x, y), digits)
+
+    def foot(s, i):
         a, dx, dy = s["a"], s["b"]["x"] - s["a"]["x"], s["b"]["y"] - s["a"]["y"]
         u = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - a["x"]) * dx + (y - a["y"]) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)))), F.lit(0.0))
         px, py = a["x"] + u * dx, a["y"] + u * dy
-        return F.struct(distance(px, py, x, y).alias("d"), px.alias("x"), py.alias("y"))
+        return F.struct(near(px, py).alias("d"), i.alias("at"), px.alias("x"), py.alias("y"))
 
-    lone = F.transform(points, lambda p: F.struct(distance(p["x"], p["y"], x, y).alias("d"), p["x"].alias("x"), p["y"].alias("y")))
+    # vertices after all feet: they count for a line of one point, or where a foot at a step's end is off by its rounding
+    lone = F.transform(points, lambda p, i: F.struct(near(p["x"], p["y"]).alias("d"), (F.size(points) + i).alias("at"), p["x"].alias("x"), p["y"].alias("y")))
     best = F.array_min(F.concat(lone, F.transform(steps(points), foot)))
     return F.when(best.isNotNull(), point(best["x"], best["y"]))
 
 
-def shortest_line(points: Column, x: Column, y: Column) -> Column:
+def shortest_line(points: Column, x: Column, y: Column, digits: int | None = None) -> Column:
     """The line from the nearest point to (x, y)."""
-    return F.array(closest_point(points, x, y), point(x, y))
+    return F.array(closest_point(points, x, y, digits), point(x, y))
 
 
 # ---- processing ----------------------------------------------------------------------

@@ -881,7 +881,7 @@ def line_hull(spark, sf_dir):
 away AS (SELECT id, round(ax + u * dx, 9) + 0e0 AS x, round(ay + u * dy, 9) + 0e0 AS y, round(sqrt(power(ax + u * dx - 21.5, 2) + power(ay + u * dy - 50.25, 2)), 9) AS d FROM feet)
 SELECT id, arg_min(x, d) AS x, arg_min(y, d) AS y, min(d) AS d FROM away GROUP BY id""")
 def closest_points(spark, sf_dir):
-    best = _paths(spark, sf_dir).select("id", shapes.shortest_line(F.col("points"), F.lit(21.5), F.lit(50.25)).alias("line"))
+    best = _paths(spark, sf_dir).select("id", shapes.shortest_line(F.col("points"), F.lit(21.5), F.lit(50.25), 9).alias("line"))
     first = F.get("line", F.lit(0))
     return best.select("id", (F.round(first["x"], 9) + F.lit(0.0)).alias("x"), (F.round(first["y"], 9) + F.lit(0.0)).alias("y"), F.round(geo.line_length(F.col("line")), 9).alias("d"))
 

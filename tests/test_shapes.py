@@ -84,3 +84,15 @@ def test_simplify_and_nearest(spark):
             assert ((a[0] + u * (b[0] - a[0]) - q[0]) ** 2 + (a[1] + u * (b[1] - a[1]) - q[1]) ** 2) ** 0.5 <= 0.5 + 1e-9
     assert [tuple(q) for q in rows[2][0]] == [(0, 0), (2, 0)] and tuple(rows[2][1]) == (1, 0) and tuple(rows[3][1]) == (4, 4)
     assert rows[4] == ([], None) and rows[5] == (None, None)
+
+
+def test_equally_near_points_go_by_their_place_on_the_line(spark, tmp_path):
+    from lattica import queries
+
+    rows = [(1, [(3.0, 0.0), (1.5, -9.0), (0.0, 0.0)]), (2, [(0.0, 0.0), (1.5, -9.0), (3.0, 0.0)]), (3, [(3.0, 0.0), (1.5, -9.0), (0.0, 1e-12)]), (4, [(3.0, 0.0), (3.0, 0.0)])]
+    df, p = spark.createDataFrame(rows, "id int, points array<struct<x:double,y:double>>"), F.col("points")
+    near = lambda *digits: {r[0]: tuple(round(v, 6) for v in r[1]) for r in df.select("id", shapes.closest_point(p, F.lit(1.5), F.lit(5.0), *digits)).collect()}
+    assert near() == {1: (3, 0), 2: (0, 0), 3: (0, 0), 4: (3, 0)}
+    assert near(9) == near() | {3: (3, 0)}
+    spark.createDataFrame([(2045,), (7803,), (14243,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    assert {r.id: (r.x, r.y) for r in queries.QUERIES["closest_points"](spark, str(tmp_path)).collect()} == {2045: (35, 36), 7803: (21, 30), 14243: (21, 15)}
